@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabspark.config import EngineConfig
@@ -79,26 +77,29 @@ def _votes(config: EngineConfig) -> list[tuple[str, Column]]:
     ]
 
 
+def _with_votes(df: DataFrame, targets: list[str], config: EngineConfig) -> DataFrame:
+    """The profile of every target with the list of votes its rules cast."""
+    cast = F.array(*[F.struct(F.lit(name).alias("rule"), v.alias("vote")) for name, v in _votes(config)])
+    return target_profile(df, targets).withColumn("votes", F.filter(cast, lambda x: x["vote"].isNotNull()))
+
+
 def detect_rules(df: DataFrame, targets: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
     """(column, rule, task, confidence) for every rule that votes."""
-    votes = F.array(*[F.struct(F.lit(name).alias("rule"), v.alias("vote")) for name, v in _votes(config)])
-    return (target_profile(df, targets).select("column", F.explode(votes).alias("v"))
-            .filter(F.col("v.vote").isNotNull())
+    return (_with_votes(df, targets, config).select("column", F.explode("votes").alias("v"))
             .select("column", "v.rule", "v.vote.task", "v.vote.confidence"))
 
 
-def _verdict(config: EngineConfig) -> tuple[Column, Column]:
-    votes = [v for _, v in _votes(config)]
-
-    def total(task: str) -> tuple[Column, Column]:
-        hit = [F.when(v["task"] == task, v["confidence"]) for v in votes]
-        return (reduce(lambda a, b: a + b, [F.coalesce(h, F.lit(0.0)) for h in hit]),
-                reduce(lambda a, b: a + b, [h.isNotNull().cast("int") for h in hit]))
-
-    clf, n_clf = total(CLF)
-    reg, n_reg = total(REG)
-    task = F.when(clf > reg, CLF).otherwise(REG)
-    return task, F.when(clf > reg, clf / n_clf).otherwise(reg / n_reg)
+def _with_verdict(df: DataFrame, targets: list[str], config: EngineConfig) -> DataFrame:
+    """Adds task and confidence: the greater sum decides, the winner's mean is the confidence."""
+    for_task = lambda task: F.transform(
+        F.filter("votes", lambda x: x["vote"]["task"] == task), lambda x: x["vote"]["confidence"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    voted = (_with_votes(df, targets, config)
+             .withColumn("_clf", for_task(CLF)).withColumn("_reg", for_task(REG))
+             .withColumn("_c", total("_clf")).withColumn("_r", total("_reg")))
+    wins = F.col("_c") > F.col("_r")
+    return (voted.withColumn("task", F.when(wins, CLF).otherwise(REG))
+            .withColumn("confidence", F.when(wins, F.col("_c") / F.size("_clf")).otherwise(F.col("_r") / F.size("_reg"))))
 
 
 def detect_task(df: DataFrame, targets: list[str], override: str | None = None,
@@ -111,16 +112,14 @@ def detect_task(df: DataFrame, targets: list[str], override: str | None = None,
         return (df.agg(F.count(F.lit(1))).select(names)
                 .select("column", F.lit(override).alias("task"), F.lit(1.0).alias("confidence"),
                         F.lit(False).alias("needs_review")))
-    task, confidence = _verdict(config)
-    return (target_profile(df, targets).select("column", task.alias("task"), confidence.alias("confidence"))
+    return (_with_verdict(df, targets, config).select("column", "task", "confidence")
             .withColumn("needs_review", F.col("confidence") < 0.70))
 
 
 def detect_details(df: DataFrame, targets: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
-    task, confidence = _verdict(config)
     total = F.col("n_present")
-    return target_profile(df, targets).select(
-        "column", task.alias("task"), confidence.alias("confidence"),
+    return _with_verdict(df, targets, config).select(
+        "column", "task", "confidence",
         F.col("n").alias("n_samples"), "n_unique",
         F.coalesce(F.col("n_unique") / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("unique_ratio"),
         "dtype", (F.col("n") - total).alias("null_count"),
