@@ -19,22 +19,30 @@ from tabspark.functions.expr import col, dtype_of, present
 _BINS = 2048
 
 
+def column_ranges(df: DataFrame, columns: list[str]) -> dict:
+    """Rows, and per column its present rows, extremes, mean and population deviation: one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        v = present(col(c), dtype_of(df, c)).cast("double")
+        aggs += [F.count(v).alias(f"c{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                 F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
+    return df.agg(*aggs).first().asDict()
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                    config: EngineConfig = EngineConfig()) -> dict[str, list[float | None]]:
+                    config: EngineConfig = EngineConfig(), ranges: dict | None = None) -> dict[str, list[float | None]]:
     """Interpolated quantiles of every column, exactly, as plain numbers.
 
     Small tables need one aggregate. On larger ones each pass counts the rows
     in equal-width bins of the current bracket and keeps the bin that holds the
     wanted rank; a bracket that holds one value, or few rows, ends the search.
+    ``ranges`` is the result of ``column_ranges`` where the caller has it already.
     """
     if not columns:
         return {}
     values = df.select([present(col(c), dtype_of(df, c)).cast("double").alias(f"v{i}")
                         for i, c in enumerate(columns)])
-    counts = values.agg(F.count(F.lit(1)).alias("n"),
-                        *[F.count(f"v{i}").alias(f"c{i}") for i in range(len(columns))],
-                        *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(columns))],
-                        *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(columns))]).first()
+    counts = ranges or column_ranges(df, columns)
     if counts["n"] <= config.quantile_buffer_rows:
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
         row = values.agg(*[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in range(len(columns))]).first()

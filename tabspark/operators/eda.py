@@ -138,10 +138,12 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
         some_null = reduce(lambda a, b: a | b, [_number(df, c).isNull() for c in columns])
         if df.filter(some_null).isEmpty():
             return _correlation_dense(df, columns)
+    position = {c: f"v{i}" for i, c in enumerate(columns)}
+    values = df.select([_number(df, c).alias(v) for c, v in position.items()])
     parts = []
     for start in range(0, len(pairs), _PAIRS_PER_PASS):
         chunk = pairs[start:start + _PAIRS_PER_PASS]
-        row = df.agg(*[F.corr(_number(df, a), _number(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
+        row = values.agg(*[F.corr(position[a], position[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
         rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r"))
                          for i, (a, b) in enumerate(chunk)])
         parts.append(row.select(F.explode(rows).alias("p")).select("p.*"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabspark.config import EngineConfig
 from tabspark.functions.expr import as_text, col, countable_columns, dtype_of, present
-from tabspark.functions.rank import exact_quantiles
+from tabspark.functions.rank import column_ranges, exact_quantiles
 from tabspark.operators.valuecounts import value_counts
 from tabspark.session import scratch_path
 
@@ -38,36 +38,27 @@ def impute_constant(df: DataFrame, columns: list[str], value: str = "missing") -
     return _replace(df, {c: F.coalesce(as_text(col(c), dtype_of(df, c)), F.lit(value)) for c in columns})
 
 
-def scaled(c: Column, mean: float, std: float) -> Column:
-    return (c - F.lit(float(mean))) / F.lit(float(std) if std else 1.0)
-
-
-def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float | None, float | None]]:
-    """(present rows, mean, population deviation) of every column, from one aggregate."""
-    if not columns:
-        return {}
-    aggs = []
-    for i, c in enumerate(columns):
-        v = present(col(c), dtype_of(df, c)).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"n{i}"], row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+def scaled(c: Column, mean: float | None, std: float | None) -> Column:
+    return (c - F.lit(float(mean or 0.0))) / F.lit(float(std) if std else 1.0)
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """Zero mean and unit population deviation; constant columns are only centred."""
-    stats = moments(df, columns)
-    return _replace(df, {c: scaled(present(col(c), dtype_of(df, c)).cast("double"), stats[c][1], stats[c][2])
-                         for c in columns})
+    stats = column_ranges(df, columns)
+    return _replace(df, {c: scaled(present(col(c), dtype_of(df, c)).cast("double"), stats[f"m{i}"], stats[f"s{i}"])
+                         for i, c in enumerate(columns)})
 
 
 def categories(df: DataFrame, columns: list[str], fill: str = "missing") -> dict[str, list[str]]:
     """Sorted categories of low-cardinality columns (the caller has checked the count)."""
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    if columns:
-        for r in value_counts(df, columns).collect():
-            out[r["column"]].append(fill if r["value"] is None else r["value"])
-    return {c: sorted(set(v)) for c, v in out.items()}
+    return sorted_categories(value_counts(df, columns), columns, fill) if columns else {}
+
+
+def sorted_categories(counts: DataFrame, columns: list[str], fill: str = "missing") -> dict[str, list[str]]:
+    out: dict[str, set] = {c: set() for c in columns}
+    for r in counts.filter(F.col("column").isin(columns)).select("column", "value").collect():
+        out[r["column"]].add(fill if r["value"] is None else r["value"])
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def one_hot_columns(c: Column, name: str, values: list[str], fill: str = "missing") -> list[Column]:
@@ -84,10 +75,18 @@ def one_hot(df: DataFrame, column: str, values: list[str] | None = None, keep: l
 
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, cnt, frequency): share of the present rows per category."""
-    counts = value_counts(df, columns).filter(F.col("value").isNotNull())
-    totals = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("total"))
-                            for i, c in enumerate(columns)])).alias("t")).select("t.*")
+    return counted_frequencies(value_counts(df, columns), df.select([col(c) for c in columns]))
+
+
+def counted_frequencies(counts: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """Shares from value counts; the totals come from ``df`` when the counts are not stored."""
+    counts = counts.filter(F.col("value").isNotNull())
+    if df is None:
+        totals = counts.groupBy("column").agg(F.sum("cnt").alias("total"))
+    else:
+        totals = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).select(
+            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("total"))
+                                for i, c in enumerate(df.columns)])).alias("t")).select("t.*")
     # ``totals`` has one row per column.
     return counts.join(F.broadcast(totals), "column").select(
         "column", "value", "cnt", (F.col("cnt") / F.col("total")).alias("frequency"))
@@ -105,7 +104,7 @@ class FrequencyEncoder(Estimator, HasInputCols, DefaultParamsReadable, DefaultPa
         path = scratch_path(dataset.sparkSession, "frequencies")
         columns = self.getInputCols()
         frequencies(dataset, columns).write.parquet(path)
-        return FrequencyEncoderModel.of(dataset.sparkSession.read.parquet(path), columns)
+        return FrequencyEncoderModel.of(dataset.sparkSession.read.parquet(path), columns)[0]
 
 
 class FrequencyEncoderModel(Model, HasInputCols, MLReadable, MLWritable):
@@ -123,12 +122,16 @@ class FrequencyEncoderModel(Model, HasInputCols, MLReadable, MLWritable):
         self.table = table
 
     @classmethod
-    def of(cls, table: DataFrame, columns: list[str]) -> "FrequencyEncoderModel":
-        size = table.agg(F.count(F.lit(1)).alias("n"),
-                         F.coalesce(F.sum(F.octet_length("value") + 24), F.lit(0)).alias("b")).first()
+    def of(cls, table: DataFrame, columns: list[str]) -> tuple["FrequencyEncoderModel", dict]:
+        """The model, and per column the sums of frequency and squared frequency over the rows."""
+        f = F.col("frequency")
+        rows = table.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 24).alias("b"),
+            F.sum(F.col("cnt") * f).alias("s1"), F.sum(F.col("cnt") * f * f).alias("s2")).collect()  # one per column
+        sums = {c: (0.0, 0.0) for c in columns} | {r["column"]: (r["s1"], r["s2"]) for r in rows}
         model = cls(table)
-        model._set(inputCols=columns, nCategories=size["n"], nBytes=float(size["b"]))
-        return model
+        model._set(inputCols=columns, nCategories=sum(r["n"] for r in rows), nBytes=float(sum(r["b"] for r in rows)))
+        return model, sums
 
     def fits_broadcast(self) -> bool:
         return (self.getOrDefault("nCategories") <= self.getOrDefault("broadcastRows")

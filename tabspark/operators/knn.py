@@ -64,7 +64,7 @@ def nearest(probe: np.ndarray, train: np.ndarray, order: np.ndarray, k: int, met
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def as_matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.empty((0, 0))
 
 
@@ -95,7 +95,7 @@ class NeighbourIndex:
     def _broadcast_join(self, probe: DataFrame) -> DataFrame:
         spark = probe.sparkSession
         rows = self.train.toPandas()  # size checked above
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["vec"])))
+        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), as_matrix(rows["vec"])))
         k, metric = self.k, self.metric
         id_type = probe.schema["id"].dataType.simpleString()
 
@@ -104,7 +104,7 @@ class NeighbourIndex:
             for batch in batches:
                 if len(batch) == 0:
                     continue
-                i, j, d = nearest(_matrix(batch["vec"]), matrix, ids, k, metric)
+                i, j, d = nearest(as_matrix(batch["vec"]), matrix, ids, k, metric)
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[i], "neighbour": ids[j], "distance": d,
                                     "rank": _ranks(i)})
 
@@ -136,7 +136,7 @@ class NeighbourIndex:
         def home(batches):
             for batch in batches:
                 if len(batch):
-                    m = _matrix(batch["vec"])
+                    m = as_matrix(batch["vec"])
                     dist = true_distance(m, shared.value)
                     cell = dist.argmin(axis=1)
                     yield batch.assign(cell=cell, reach=dist[np.arange(len(m)), cell]
@@ -153,7 +153,7 @@ class NeighbourIndex:
             for batch in batches:
                 if len(batch) == 0:
                     continue
-                m = _matrix(batch["vec"])
+                m = as_matrix(batch["vec"])
                 pv = shared.value[cell_id]
                 for s in range(0, len(m), max(1, _BLOCK_CELLS // len(pv))):
                     part = m[s:s + max(1, _BLOCK_CELLS // len(pv))]
@@ -188,7 +188,7 @@ class NeighbourIndex:
             if len(a) == 0 or len(b) == 0:
                 return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
             ids = b["id"].to_numpy()
-            i, j, dist = nearest(_matrix(a["vec"]), _matrix(b["vec"]), ids, k, metric)
+            i, j, dist = nearest(as_matrix(a["vec"]), as_matrix(b["vec"]), ids, k, metric)
             return pd.DataFrame({"id": a["id"].to_numpy()[i], "neighbour": ids[j], "distance": dist})
 
         keys = ["cell", "t", "p"]

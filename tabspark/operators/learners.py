@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
@@ -14,7 +18,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabspark.config import EngineConfig
-from tabspark.operators.knn import NeighbourIndex
+from tabspark.operators.knn import NeighbourIndex, as_matrix, nearest
 from tabspark.session import cut_lineage, scratch_path
 
 
@@ -99,12 +103,9 @@ class NearestNeighboursModel(Model, _KnnParams, MLReadable, MLWritable):
 
     def _transform_rows(self, dataset: DataFrame, metric: str) -> DataFrame:
         """Bounded training side: a vectorised lookup per row, no shuffle at all."""
-        import numpy as np
-        import pandas as pd
-        from tabspark.operators.knn import _matrix, nearest
         rows = self.train.toPandas()  # size checked by the caller
         shared = dataset.sparkSession.sparkContext.broadcast(
-            (rows["id"].to_numpy(), _matrix(rows["vec"]), rows["y"].to_numpy()))
+            (rows["id"].to_numpy(), as_matrix(rows["vec"]), rows["y"].to_numpy()))
         k, classes = self.getOrDefault("k"), self.getOrDefault("nClasses") if self.classifies else 0
         uniform = self.getOrDefault("weights") == "uniform"
 
@@ -112,7 +113,7 @@ class NearestNeighboursModel(Model, _KnnParams, MLReadable, MLWritable):
             ids, matrix, y = shared.value
             if len(vec) == 0:
                 return pd.Series([], dtype=object)
-            i, j, d = nearest(_matrix(vec), matrix, ids, k, metric)
+            i, j, d = nearest(as_matrix(vec), matrix, ids, k, metric)
             d = np.sqrt(d) if metric == "euclidean" else d
             w = np.ones(len(d))
             if not uniform:
@@ -236,12 +237,10 @@ class AdaptiveBoosting(Estimator, _BoostParams):
             return 1.0, F.lit(1.0), True
         if error >= 1.0 - 1.0 / n_classes:
             return None
-        import math
         alpha = self.getOrDefault("learningRate") * (math.log((1 - error) / error) + math.log(n_classes - 1))
         return alpha, F.when(F.col("_pred") != F.col(label), F.lit(math.exp(alpha))).otherwise(1.0), False
 
     def _value_step(self, scored: DataFrame, label: str):
-        import math
         gap = F.abs(F.col("_pred") - F.col(label))
         worst = scored.filter(F.col("_w") > 0).agg(F.max(gap)).first()[0]
         if worst == 0:
@@ -277,8 +276,10 @@ class AdaptiveBoostingModel(Model, _BoostParams, MLReadable, MLWritable):
         votes = F.array(*[F.struct(F.col(n).alias("p"), F.lit(float(w)).alias("w")) for n, w in zip(names, weights)])
         if self.classifies:
             total = sum(weights) or 1.0
-            shares = F.array(*[F.aggregate(votes, F.lit(0.0), lambda a, v, c=float(c): a + F.when(v["p"] == c, v["w"])
-                                           .otherwise(0.0)) / F.lit(total) for c in range(self.getOrDefault("nClasses"))])
+            def share(c: float) -> Column:
+                return F.aggregate(votes, F.lit(0.0), lambda a, v: a + F.when(v["p"] == c, v["w"]).otherwise(0.0)) / total
+
+            shares = F.array(*[share(float(c)) for c in range(self.getOrDefault("nClasses"))])
             return (df.withColumn("_p", shares).withColumn(self.getProbabilityCol(), array_to_vector("_p"))
                     .withColumn(self.getPredictionCol(), _first_max("_p")).drop("_p", *names))
         # Weighted median: the first prediction, in order, at which half of the weight is reached.

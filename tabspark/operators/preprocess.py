@@ -21,11 +21,12 @@ from tabspark.config import EngineConfig
 from tabspark.functions.expr import (
     as_text, categorical_columns, col, dtype_of, numeric_columns, present,
 )
-from tabspark.functions.rank import exact_quantiles
+from tabspark.functions.rank import column_ranges, exact_quantiles
 from tabspark.operators.encode import (
-    FrequencyEncoder, FrequencyEncoderModel, categories, moments, one_hot_columns, scaled,
+    FrequencyEncoderModel, counted_frequencies, one_hot_columns, scaled, sorted_categories,
 )
-from tabspark.operators.valuecounts import distinct_counts
+from tabspark.operators.valuecounts import distinct_counts, value_counts
+from tabspark.session import scratch_path
 
 NUMERIC, FREQUENCY, ONE_HOT, IDENTIFIER, DROPPED = "numeric", "frequency", "one_hot", "id", "dropped"
 
@@ -92,33 +93,36 @@ class TablePreprocessor(Estimator, HasOutputCol, DefaultParamsReadable, DefaultP
         by_role = {role: [c for c in text if roles.get(c, ONE_HOT) == role]
                    for role in (FREQUENCY, ONE_HOT, IDENTIFIER)}
         numeric = numeric_columns(part)
-        medians = exact_quantiles(part, numeric, [0.5], config)
-        stats = moments(part, numeric)
-        n_rows = part.count()
+        ranges = column_ranges(part, numeric)
+        n_rows = ranges["n"]
+        medians = exact_quantiles(part, numeric, [0.5], config, ranges)
         state = {"numeric": [], "frequency": [], "one_hot": [], "id": by_role[IDENTIFIER], "dropped": []}
-        for c in numeric:
-            n, mean, std = stats[c]
-            if n == 0:
+        for i, c in enumerate(numeric):
+            if ranges[f"c{i}"] == 0:
                 state["dropped"].append(c)  # nothing to impute from
                 continue
-            m, s = _after_imputation(n, n_rows, mean, std, medians[c][0])
+            m, s = _after_imputation(ranges[f"c{i}"], n_rows, ranges[f"m{i}"], ranges[f"s{i}"], medians[c][0])
             state["numeric"].append({"name": c, "median": medians[c][0], "mean": m, "std": s})
         state["dropped"] += [c for c in features if c not in numeric and c not in text]
         encoder = None
+        encoded = by_role[FREQUENCY] + by_role[ONE_HOT]
+        if encoded:
+            # Counted once for both encodings, and stored: frequencies are read at every transform.
+            path = scratch_path(dataset.sparkSession, "categories")
+            value_counts(part, encoded).write.partitionBy("column").parquet(path)
+            counts = dataset.sparkSession.read.schema("value string, cnt long, column string").parquet(path)
+            known = sorted_categories(counts, by_role[ONE_HOT])
+            state["one_hot"] = [{"name": c, "categories": known[c]} for c in by_role[ONE_HOT]]
         if by_role[FREQUENCY]:
-            encoder = FrequencyEncoder(inputCols=by_role[FREQUENCY]).fit(part)
-            weighted = {r["column"]: r for r in encoder.table.groupBy("column").agg(
-                F.sum(F.col("cnt") * F.col("frequency")).alias("s1"),
-                F.sum(F.col("cnt") * F.col("frequency") * F.col("frequency")).alias("s2")).collect()}
+            shares = counted_frequencies(counts.filter(F.col("column").isin(by_role[FREQUENCY])))
+            encoder, moments = FrequencyEncoderModel.of(shares, by_role[FREQUENCY])
             for c in by_role[FREQUENCY]:
                 if self.getOrDefault("freqScaling") == "centered":
                     state["frequency"].append({"name": c, "mean": 0.5, "std": 1.0})
                     continue
-                mean = weighted[c]["s1"] / n_rows
-                variance = max(weighted[c]["s2"] / n_rows - mean * mean, 0.0)
+                mean = moments[c][0] / n_rows
+                variance = max(moments[c][1] / n_rows - mean * mean, 0.0)
                 state["frequency"].append({"name": c, "mean": mean, "std": math.sqrt(variance)})
-        known = categories(part, by_role[ONE_HOT])
-        state["one_hot"] = [{"name": c, "categories": known[c]} for c in by_role[ONE_HOT]]
         model = TablePreprocessorModel(encoder)
         model._set(outputCol=self.getOutputCol(), state=json.dumps(state))
         return model

@@ -104,6 +104,29 @@ def assign_folds(df: DataFrame, key: str | None = None, target: str | None = Non
     return fit_folds(df, key, target, k, config).apply(df, out)
 
 
+def split_with_folds(df: DataFrame, key: str | None, target: str | None, config: EngineConfig = EngineConfig(),
+                     out: str = "split", fold: str = "fold") -> DataFrame:
+    """Split and folds of the train rows from one fit.
+
+    Folds are contiguous in hash order and the train rows come last in it, so
+    both are cuts of the same order. ``fold`` is null outside the train rows.
+    """
+    k = config.cv_folds
+
+    def ranks(n: int) -> list[int]:
+        n_test = math.ceil(config.test_size * n)
+        held = n_test + math.ceil(config.val_size * (n - n_test))
+        rest = n - held
+        return [n_test, held] + [held + (rest // k) * (j + 1) + min(j + 1, rest % k) for j in range(k - 1)]
+
+    cuts, totals = hash_cuts(df, _stratum(df, target), _key(df, key), config.seed, ranks, config)
+    plan = CutPlan((-2, -1, *range(k)), key, target, config.seed, cuts, totals)
+    part = F.col("_part")
+    return (plan.apply(df, "_part")
+            .withColumn(out, F.when(part == -2, "test").when(part == -1, "val").otherwise("train"))
+            .withColumn(fold, F.when(part >= 0, part)).drop("_part"))
+
+
 def split_info_classes(df: DataFrame, target: str, part: str = "split") -> DataFrame:
     """(split, target, n, share of the split): class counts and class shares."""
     counts = df.groupBy(part, target).agg(F.count(F.lit(1)).alias("n"))

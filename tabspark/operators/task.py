@@ -109,7 +109,7 @@ def detect_task(df: DataFrame, targets: list[str], override: str | None = None,
         if override not in (CLF, REG):
             raise ValueError("Override must be 'classification' or 'regression'")
         names = F.explode(F.array(*[F.lit(t) for t in targets])).alias("column")
-        return (df.agg(F.count(F.lit(1))).select(names)
+        return (df.limit(0).agg(F.count(F.lit(1))).select(names)
                 .select("column", F.lit(override).alias("task"), F.lit(1.0).alias("confidence"),
                         F.lit(False).alias("needs_review")))
     return (_with_verdict(df, targets, config).select("column", "task", "confidence")
