@@ -98,7 +98,7 @@ class NearestNeighboursModel(Model, _KnnParams, MLReadable, MLWritable):
             scored = found.groupBy("id").agg(F.array(*shares).alias("_p"))
         else:
             scored = found.groupBy("id").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("_p"))
-        joined = keyed.join(scored, keyed["_id"] == scored["id"], "left").drop("id", "_id", "_vec")
+        joined = keyed.join(scored.withColumnRenamed("id", "_id"), "_id", "left").drop("_id", "_vec")
         return self._finish(joined)
 
     def _transform_rows(self, dataset: DataFrame, metric: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabspark.config import EngineConfig
@@ -13,19 +12,19 @@ _DDL = "name string, extension string, file_exists boolean, size_bytes long, siz
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:
-    """(name, extension, file_exists, size_bytes, size_mb) of a file or of every file in a folder."""
-    try:
-        files = spark.read.format("binaryFile").load(path).select("path", "length")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error.getCondition() or ""):
-            raise
-        name = os.path.basename(path)
-        row = [(name, os.path.splitext(name)[1].lower(), False, 0, 0.0)]
-        return spark.createDataFrame(row, _DDL)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("extension"),
-                        F.lit(True).alias("file_exists"), F.col("length").alias("size_bytes"),
-                        F.round(F.col("length") / (1024 * 1024), 2).alias("size_mb"))
+    """(name, extension, file_exists, size_bytes, size_mb) of a file or of every file in a folder.
+
+    Taken from the file system's listing, on any file system Spark can reach:
+    a scan would not show empty files.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(conf)
+    sizes = [(os.path.basename(path), False, 0)]
+    if system.exists(place):
+        sizes = [(s.getPath().getName(), True, s.getLen()) for s in system.listStatus(place) if s.isFile()]
+    rows = [(n, os.path.splitext(n)[1].lower(), exists, size, round(size / (1024 * 1024), 2)) for n, exists, size in sizes]
+    return spark.createDataFrame(rows, _DDL)
 
 
 def validate_file(spark: SparkSession, path: str, config: EngineConfig = EngineConfig()) -> DataFrame:

@@ -60,7 +60,7 @@ PARTS = [
     "p_partkey", "p_name",
     "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS p_brand",
     "p_type", "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size", "p_retailprice",
-    "p_retailprice > 950 AS pricey",
+    "p_size > 25 AS pricey",
 ]
 ORDERS = [
     "o_orderkey", "o_custkey", "o_orderstatus",
