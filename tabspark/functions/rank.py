@@ -21,12 +21,13 @@ _BINS = 2048
 
 def column_ranges(df: DataFrame, columns: list[str]) -> dict:
     """Rows, and per column its present rows, extremes, mean and population deviation: one aggregate."""
+    values = df.select([present(col(c), dtype_of(df, c)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(columns):
-        v = present(col(c), dtype_of(df, c)).cast("double")
+    for i in range(len(columns)):
+        v = F.col(f"v{i}")
         aggs += [F.count(v).alias(f"c{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
                  F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
-    return df.agg(*aggs).first().asDict()
+    return values.agg(*aggs).first().asDict()
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
@@ -133,72 +134,57 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def hash_cuts(df: DataFrame, group: Column, key: Column, seed: int, cuts, config: EngineConfig = EngineConfig()):
-    """Hash values that cut every group at given ranks, found by counting.
+def position_cuts(df: DataFrame, group: Column, position: Column, hex_digits: int, cuts,
+                  config: EngineConfig = EngineConfig()) -> dict:
+    """Positions that cut every group at given ranks, found by counting.
 
+    ``position`` is text that starts with ``hex_digits`` uniform hex digits;
     ``cuts(n)`` gives the ranks (1-based, inclusive) for a group of ``n`` rows.
-    Returns ``{group: [(hash, key) or None, ...]}`` and ``{group: n}``: a row
-    lies at or before cut ``j`` when its (hash, key) <= that pair. Each pass
-    counts rows by a hash prefix, so no group is ever sorted in one task; only
-    a prefix holding few rows is. The number of groups must be bounded.
+    Returns ``{group: [position or None, ...]}``: a row lies at or before cut
+    ``j`` when its position is not greater. Each pass counts rows by a longer
+    prefix of the position, so no group is ever sorted in one task: only the
+    few rows that share the last prefix are. The number of groups must be
+    bounded.
     """
     spark = df.sparkSession
-    rows = df.select(group.cast("string").alias("g"), hash_order(key, seed).alias("h"),
-                     key.cast("string").alias("k"))
-    step = 3
-    depth = step
-    counts = rows.groupBy("g", F.substring("h", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(group.cast("string").alias("g"), position.alias("pos"))
+    step = depth = 3  # 4096 prefixes per pass
     w = Window.partitionBy("g").orderBy("p")
-    counts = counts.withColumn("upto", F.sum("n").over(w)).collect()  # groups x 4096 at most
-    totals: dict[str | None, int] = {}
-    per_group: dict[str | None, list] = {}
-    for r in counts:
-        totals[r["g"]] = max(totals.get(r["g"], 0), r["upto"])
-        per_group.setdefault(r["g"], []).append((r["upto"], r["n"], r["p"]))
-    out = {g: [None] * len(cuts(n)) for g, n in totals.items()}
-    open_ = []
-    for g, n in totals.items():
-        buckets = sorted(per_group[g])
-        for j, rank in enumerate(cuts(n)):
-            if rank <= 0:
-                continue
-            upto, size, prefix = next(b for b in buckets if b[0] >= rank)
-            open_.append((g, j, prefix, rank - (upto - size), size))
+    counted = (rows.groupBy("g", F.substring("pos", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("upto", F.sum("n").over(w)).collect())  # groups x 4096 at most
+    buckets: dict[str | None, list] = {}
+    for r in counted:
+        buckets.setdefault(r["g"], []).append((r["upto"], r["n"], r["p"]))
+    out, open_ = {}, []
+    for g, found in buckets.items():
+        found.sort()
+        ranks = cuts(found[-1][0])
+        out[g] = [None] * len(ranks)
+        for j, rank in enumerate(ranks):
+            if rank > 0:
+                upto, size, prefix = next(x for x in found if x[0] >= rank)
+                open_.append((g, j, prefix, rank - (upto - size), size))
     while open_:
         asks = spark.createDataFrame(sorted({(o[0], o[2]) for o in open_}, key=str), "ag string, ap string")
         inside = rows.join(F.broadcast(asks), F.col("g").eqNullSafe(F.col("ag"))
-                           & (F.substring("h", 1, depth) == F.col("ap")))
-        if max(o[4] for o in open_) <= config.rank_bucket_rows or depth >= 30:
-            ranks = F.broadcast(spark.createDataFrame(
-                [(o[0], o[2], o[3], o[1]) for o in open_], "rg string, rp string, rank long, j int"))
-            # Equal keys form one row here: a key is never torn between two sides of a cut.
-            grouped = inside.groupBy("g", "ap", "h", "k").agg(F.count(F.lit(1)).alias("n"))
-            w = Window.partitionBy("g", "ap").orderBy("h", "k")
-            ranked = grouped.withColumn("upto", F.sum("n").over(w))
-            hit = ranked.join(ranks, F.col("g").eqNullSafe(F.col("rg")) & (F.col("ap") == F.col("rp"))
-                              & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-            for r in hit.select("g", "j", "h", "k").collect():
-                out[r["g"]][r["j"]] = (r["h"], r["k"])
-            break
+                           & (F.substring("pos", 1, depth) == F.col("ap")))
+        last = max(o[4] for o in open_) <= config.rank_bucket_rows or depth >= hex_digits
+        # Rows with one position count as one entry: they cannot be told apart.
         depth += step
-        counts = (inside.groupBy("g", "ap", F.substring("h", 1, depth).alias("p"))
-                  .agg(F.count(F.lit(1)).alias("n"))
-                  .withColumn("upto", F.sum("n").over(Window.partitionBy("g", "ap").orderBy("p")))
-                  .collect())
-        per = {}
-        for r in counts:
-            per.setdefault((r["g"], r["ap"]), []).append((r["upto"], r["n"], r["p"]))
-        nxt = []
-        for g, j, prefix, rank, _size in open_:
-            upto, size, p = next(b for b in sorted(per[(g, prefix)]) if b[0] >= rank)
-            nxt.append((g, j, p, rank - (upto - size), size))
-        open_ = nxt
-    return out, totals
-
-
-def at_or_before(hash_: Column, key: Column, cut: tuple[str, str]) -> Column:
-    h, k = cut
-    return (hash_ < F.lit(h)) | ((hash_ == F.lit(h)) & (key.cast("string") <= F.lit(k)))
+        part = F.col("pos") if last else F.substring("pos", 1, depth)
+        w = Window.partitionBy("g", "ap").orderBy("p")
+        ranked = (inside.groupBy("g", "ap", part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+                  .withColumn("upto", F.sum("n").over(w)))
+        ranks = F.broadcast(spark.createDataFrame([(o[0], o[2], o[3], o[1]) for o in open_],
+                                                  "rg string, rp string, rank long, j int"))
+        hits = ranked.join(ranks, F.col("g").eqNullSafe(F.col("rg")) & (F.col("ap") == F.col("rp"))
+                           & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).collect()
+        if last:
+            for r in hits:
+                out[r["g"]][r["j"]] = r["p"]
+            break
+        open_ = [(r["g"], r["j"], r["p"], r["rank"] - (r["upto"] - r["n"]), r["n"]) for r in hits]
+    return out
 
 
 def running_before(df: DataFrame, groups: list[str], order: str, value: str, out: str,

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabspark.config import EngineConfig
 from tabspark.functions.expr import categorical_columns, col, dtype_of, numeric_columns, present
-from tabspark.functions.rank import exact_quantiles
+from tabspark.functions.rank import column_ranges, exact_quantiles
+from tabspark.operators.encode import scaled
 from tabspark.operators.quality import missing_severity, nulls_by_column
 from tabspark.operators.valuecounts import value_counts
 
 # Pairs of columns per aggregate: keeps the generated plan small.
-_PAIRS_PER_PASS = 400
+_PAIRS_PER_PASS = 120
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,26 +128,42 @@ def _number(df: DataFrame, c: str) -> Column:
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_a, column_b, r) for every pair a before b, over rows where both are present.
 
-    Up to 400 pairs cost one aggregate. Wider tables without missing values
-    use one Gram matrix; with missing values, one aggregate per 400 pairs.
+    A first pass gives means and deviations; the columns enter the second
+    standardised, as plain sums: one per pair without missing values, six
+    otherwise. Wide tables without missing values use one Gram matrix.
     """
     columns = columns or numeric_columns(df)
-    pairs = list(itertools.combinations(columns, 2))
+    pairs = list(itertools.combinations(range(len(columns)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
-    if len(pairs) > _PAIRS_PER_PASS:
-        some_null = reduce(lambda a, b: a | b, [_number(df, c).isNull() for c in columns])
-        if df.filter(some_null).isEmpty():
-            return _correlation_dense(df, columns)
-    position = {c: f"v{i}" for i, c in enumerate(columns)}
-    values = df.select([_number(df, c).alias(v) for c, v in position.items()])
+    stats = column_ranges(df, columns)
+    whole = {i for i in range(len(columns)) if stats[f"c{i}"] == stats["n"]}
+    if len(pairs) > _PAIRS_PER_PASS and len(whole) == len(columns):
+        return _correlation_dense(df, columns)
+    varies = {i for i in range(len(columns)) if stats[f"s{i}"]}
+    values = df.select([scaled(_number(df, c), stats[f"m{i}"], stats[f"s{i}"]).alias(f"z{i}")
+                        for i, c in enumerate(columns)])
     parts = []
     for start in range(0, len(pairs), _PAIRS_PER_PASS):
-        chunk = pairs[start:start + _PAIRS_PER_PASS]
-        row = values.agg(*[F.corr(position[a], position[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r"))
-                         for i, (a, b) in enumerate(chunk)])
-        parts.append(row.select(F.explode(rows).alias("p")).select("p.*"))
+        aggs, rows = [], []
+        for i, j in pairs[start:start + _PAIRS_PER_PASS]:
+            a, b, k = F.col(f"z{i}"), F.col(f"z{j}"), f"{i}_{j}"
+            if i not in varies or j not in varies:
+                r = F.lit(None).cast("double")
+            elif i in whole and j in whole:
+                aggs.append(F.avg(a * b).alias(f"xy{k}"))
+                r = F.col(f"xy{k}")
+            else:
+                both = a.isNotNull() & b.isNotNull()
+                aggs += [F.count(F.when(both, True)).alias(f"n{k}"), F.sum(F.when(both, a)).alias(f"x{k}"),
+                         F.sum(F.when(both, b)).alias(f"y{k}"), F.sum(F.when(both, a * a)).alias(f"xx{k}"),
+                         F.sum(F.when(both, b * b)).alias(f"yy{k}"), F.sum(a * b).alias(f"xy{k}")]
+                n, x, y, xx, yy, xy = (F.col(f"{p}{k}") for p in ("n", "x", "y", "xx", "yy", "xy"))
+                spread = (n * xx - x * x) * (n * yy - y * y)
+                r = F.when(spread > 1e-12 * n * n, (n * xy - x * y) / F.sqrt(spread))
+            rows.append(F.struct(F.lit(columns[i]).alias("column_a"), F.lit(columns[j]).alias("column_b"), r.alias("r")))
+        sums = values.agg(*aggs) if aggs else values.limit(0).agg(F.count(F.lit(1)))
+        parts.append(sums.select(F.explode(F.array(*rows)).alias("p")).select("p.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -261,7 +278,8 @@ def target_statistics(df: DataFrame, target: str, config: EngineConfig = EngineC
 
 def target_correlation(df: DataFrame, columns: list[str], target: str, top: int = 10) -> DataFrame:
     """(column, abs_r): features most correlated with a numeric target."""
-    row = df.agg(*[F.abs(F.corr(_number(df, c), _number(df, target))).alias(f"r{i}") for i, c in enumerate(columns)])
+    values = df.select(_number(df, target).alias("y"), *[_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    row = values.agg(*[F.abs(F.corr(f"v{i}", "y")).alias(f"r{i}") for i in range(len(columns))])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("abs_r")) for i, c in enumerate(columns)])
     return (row.select(F.explode(rows).alias("p")).select("p.*").filter(F.col("abs_r").isNotNull())
             .orderBy(F.round("abs_r", 10).desc(), "column").limit(top))

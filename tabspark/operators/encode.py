@@ -75,21 +75,17 @@ def one_hot(df: DataFrame, column: str, values: list[str] | None = None, keep: l
 
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, cnt, frequency): share of the present rows per category."""
-    return counted_frequencies(value_counts(df, columns), df.select([col(c) for c in columns]))
+    totals = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return with_shares(value_counts(df, columns), {c: totals[f"c{i}"] for i, c in enumerate(columns)})
 
 
-def counted_frequencies(counts: DataFrame, df: DataFrame | None = None) -> DataFrame:
-    """Shares from value counts; the totals come from ``df`` when the counts are not stored."""
-    counts = counts.filter(F.col("value").isNotNull())
-    if df is None:
-        totals = counts.groupBy("column").agg(F.sum("cnt").alias("total"))
-    else:
-        totals = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).select(
-            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("total"))
-                                for i, c in enumerate(df.columns)])).alias("t")).select("t.*")
-    # ``totals`` has one row per column.
-    return counts.join(F.broadcast(totals), "column").select(
-        "column", "value", "cnt", (F.col("cnt") / F.col("total")).alias("frequency"))
+def with_shares(counts: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """Value counts with the share of each value; the totals, one per column, are literals."""
+    total = F.lit(None).cast("double")
+    for c, n in totals.items():
+        total = F.when(F.col("column") == c, F.lit(float(n))).otherwise(total)
+    return counts.filter(F.col("value").isNotNull()).select(
+        "column", "value", "cnt", (F.col("cnt") / total).alias("frequency"))
 
 
 class FrequencyEncoder(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -103,7 +99,7 @@ class FrequencyEncoder(Estimator, HasInputCols, DefaultParamsReadable, DefaultPa
     def _fit(self, dataset: DataFrame) -> "FrequencyEncoderModel":
         path = scratch_path(dataset.sparkSession, "frequencies")
         columns = self.getInputCols()
-        frequencies(dataset, columns).write.parquet(path)
+        value_counts(dataset, columns).write.parquet(path)
         return FrequencyEncoderModel.of(dataset.sparkSession.read.parquet(path), columns)[0]
 
 
@@ -122,14 +118,15 @@ class FrequencyEncoderModel(Model, HasInputCols, MLReadable, MLWritable):
         self.table = table
 
     @classmethod
-    def of(cls, table: DataFrame, columns: list[str]) -> tuple["FrequencyEncoderModel", dict]:
-        """The model, and per column the sums of frequency and squared frequency over the rows."""
-        f = F.col("frequency")
-        rows = table.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 24).alias("b"),
-            F.sum(F.col("cnt") * f).alias("s1"), F.sum(F.col("cnt") * f * f).alias("s2")).collect()  # one per column
-        sums = {c: (0.0, 0.0) for c in columns} | {r["column"]: (r["s1"], r["s2"]) for r in rows}
-        model = cls(table)
+    def of(cls, counts: DataFrame, columns: list[str]) -> tuple["FrequencyEncoderModel", dict]:
+        """The model of stored counts, and per column the sums of frequency and its square over the rows."""
+        c = F.col("cnt").cast("double")
+        rows = counts.filter(F.col("value").isNotNull()).groupBy("column").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 24).alias("b"), F.sum("cnt").alias("t"),
+            F.sum(c * c).alias("c2"), F.sum(c * c * c).alias("c3")).collect()  # one per column
+        sums = {c: (0.0, 0.0) for c in columns} | {
+            r["column"]: (r["c2"] / r["t"], r["c3"] / r["t"] ** 2) for r in rows}
+        model = cls(with_shares(counts, {r["column"]: r["t"] for r in rows}))
         model._set(inputCols=columns, nCategories=sum(r["n"] for r in rows), nBytes=float(sum(r["b"] for r in rows)))
         return model, sums
 

@@ -226,7 +226,7 @@ def knn_classify(probe: DataFrame, train: DataFrame, probe_id: str, train_id: st
                  config: EngineConfig = EngineConfig()) -> DataFrame:
     """(probe_id, prediction, votes): majority of the neighbours, ties to the smallest label."""
     found = _with_target(knn_join(probe, train, probe_id, train_id, vector, k, metric, config), train, train_id, target)
-    votes = _weighted(found, weights).groupBy("probe_id", "_y").agg(F.sum("_w").alias("v"))
+    votes = weighted(found, weights).groupBy("probe_id", "_y").agg(F.sum("_w").alias("v"))
     return votes.groupBy("probe_id").agg(
         F.min_by("_y", F.struct(-F.round("v", 12), F.col("_y"))).alias("prediction"), F.max("v").alias("votes"))
 
@@ -236,14 +236,14 @@ def knn_regress(probe: DataFrame, train: DataFrame, probe_id: str, train_id: str
                 config: EngineConfig = EngineConfig()) -> DataFrame:
     """(probe_id, prediction): weighted mean of the neighbours' targets."""
     found = _with_target(knn_join(probe, train, probe_id, train_id, vector, k, metric, config), train, train_id, target)
-    w = _weighted(found, weights)
+    w = weighted(found, weights)
     return w.groupBy("probe_id").agg((F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("prediction"))
 
 
-def _weighted(found: DataFrame, weights: str) -> DataFrame:
+def weighted(found: DataFrame, weights: str, key: str = "probe_id") -> DataFrame:
     """Uniform weights, or inverse distances where an exact hit outweighs all others."""
     if weights == "uniform":
         return found.withColumn("_w", F.lit(1.0))
-    exact = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("probe_id"))
+    exact = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy(key))
     return found.withColumn("_w", F.when(exact == 1, (F.col("distance") == 0).cast("double"))
                             .otherwise(1.0 / F.col("distance")))

@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,7 +18,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabspark.config import EngineConfig
-from tabspark.operators.knn import NeighbourIndex, as_matrix, nearest
+from tabspark.operators.knn import NeighbourIndex, as_matrix, nearest, weighted
 from tabspark.session import cut_lineage, scratch_path
 
 
@@ -90,14 +90,13 @@ class NearestNeighboursModel(Model, _KnnParams, MLReadable, MLWritable):
         probes = keyed.groupBy(F.col("_id").alias("id")).agg(F.first("_vec").alias("vec"))
         found = index.join(probes).join(self.train.select(F.col("id").alias("neighbour"), "y"), "neighbour")
         d = F.sqrt("distance") if metric == "euclidean" else F.col("distance")
-        w = F.lit(1.0) if self.getOrDefault("weights") == "uniform" else F.when(d == 0, F.lit(1e300)).otherwise(1.0 / d)
-        found = found.withColumn("w", w)
+        found = weighted(found.withColumn("distance", d), self.getOrDefault("weights"), "id")
         if self.classifies:
-            shares = [(F.sum(F.when(F.col("y") == float(c), F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"p{c}")
+            shares = [(F.sum(F.when(F.col("y") == float(c), F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias(f"p{c}")
                       for c in range(self.getOrDefault("nClasses"))]
             scored = found.groupBy("id").agg(F.array(*shares).alias("_p"))
         else:
-            scored = found.groupBy("id").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("_p"))
+            scored = found.groupBy("id").agg((F.sum(F.col("y") * F.col("_w")) / F.sum("_w")).alias("_p"))
         joined = keyed.join(scored.withColumnRenamed("id", "_id"), "_id", "left").drop("_id", "_vec")
         return self._finish(joined)
 
@@ -202,7 +201,7 @@ class AdaptiveBoosting(Estimator, _BoostParams):
         n_classes = int(summary["m"]) + 1 if self.classifies else 0
         depth = self.getOrDefault("maxDepth") or (1 if self.classifies else 3)
         current = cut_lineage(rows.withColumn("_w", F.lit(1.0 / summary["n"])))
-        trees, weights = [], []
+        trees, weights, kept = [], [], None
         for i in range(self.getOrDefault("rounds")):
             common = dict(featuresCol=features, labelCol=label, weightCol="_w", maxDepth=depth,
                           predictionCol="_pred", seed=self.getSeed() + i, minWeightFractionPerNode=0.0)
@@ -219,11 +218,16 @@ class AdaptiveBoosting(Estimator, _BoostParams):
             weights.append(weight)
             if perfect:
                 break
-            raw = scored.withColumn("_w", F.col("_w") * factor).drop("_pred")
+            # Kept for the several passes of the next round; the round before is then released.
+            raw = scored.withColumn("_w", F.col("_w") * factor).drop("_pred").persist(StorageLevel.MEMORY_AND_DISK)
             total = raw.agg(F.sum("_w")).first()[0]
-            current = raw.withColumn("_w", F.col("_w") / F.lit(total))
+            if kept is not None:
+                kept.unpersist()
+            kept, current = raw, raw.withColumn("_w", F.col("_w") / F.lit(total))
             if (i + 1) % self.getOrDefault("checkpointEvery") == 0:
                 current = cut_lineage(current)
+        if kept is not None:
+            kept.unpersist()
         if not trees:
             raise RuntimeError("boosting found no usable tree in its first round")
         model = self._hand_over(AdaptiveBoostingModel(trees))

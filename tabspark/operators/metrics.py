@@ -35,7 +35,7 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
     classes = present.agg(F.array_sort(F.collect_list("c")).alias("cs"))
     grid = classes.select(F.explode("cs").alias("label"), "cs").select(
         "label", F.explode("cs").alias("prediction"))
-    return (grid.join(F.broadcast(cells), ["label", "prediction"], "left")
+    return (grid.join(cells, ["label", "prediction"], "left")
             .select("label", "prediction", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
 
 

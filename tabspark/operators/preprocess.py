@@ -23,7 +23,7 @@ from tabspark.functions.expr import (
 )
 from tabspark.functions.rank import column_ranges, exact_quantiles
 from tabspark.operators.encode import (
-    FrequencyEncoderModel, counted_frequencies, one_hot_columns, scaled, sorted_categories,
+    FrequencyEncoderModel, one_hot_columns, scaled, sorted_categories,
 )
 from tabspark.operators.valuecounts import distinct_counts, value_counts
 from tabspark.session import scratch_path
@@ -114,8 +114,8 @@ class TablePreprocessor(Estimator, HasOutputCol, DefaultParamsReadable, DefaultP
             known = sorted_categories(counts, by_role[ONE_HOT])
             state["one_hot"] = [{"name": c, "categories": known[c]} for c in by_role[ONE_HOT]]
         if by_role[FREQUENCY]:
-            shares = counted_frequencies(counts.filter(F.col("column").isin(by_role[FREQUENCY])))
-            encoder, moments = FrequencyEncoderModel.of(shares, by_role[FREQUENCY])
+            stored = counts.filter(F.col("column").isin(by_role[FREQUENCY]))
+            encoder, moments = FrequencyEncoderModel.of(stored, by_role[FREQUENCY])
             for c in by_role[FREQUENCY]:
                 if self.getOrDefault("freqScaling") == "centered":
                     state["frequency"].append({"name": c, "mean": 0.5, "std": 1.0})

@@ -55,7 +55,7 @@ def validate_table(df: DataFrame, config: EngineConfig = EngineConfig()) -> Data
     return s.select(failure.isNull().alias("valid"), F.coalesce(failure, fine).alias("message"))
 
 
-def _one_value_per_row(df: DataFrame, target: str) -> DataFrame:
+def _target_counts(df: DataFrame, target: str) -> DataFrame:
     v = present(col(target), dtype_of(df, target))
     return (df.select(as_text(v, dtype_of(df, target)).alias("value"))
             .groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))
@@ -64,7 +64,7 @@ def _one_value_per_row(df: DataFrame, target: str) -> DataFrame:
 def target_summary(df: DataFrame, target: str) -> DataFrame:
     """One row: rows, present rows, classes, smallest and largest class."""
     v = F.col("value").isNotNull()
-    return _one_value_per_row(df, target).agg(
+    return _target_counts(df, target).agg(
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.when(v, F.col("cnt"))), F.lit(0)).alias("n_present"),
         F.count("value").alias("n_unique"),
@@ -176,7 +176,7 @@ def high_cardinality_columns(df: DataFrame, ratio: float = 0.9) -> DataFrame:
 
 def target_preview(df: DataFrame, target: str, top: int = 10) -> DataFrame:
     """Most frequent target values beside the target's own summary."""
-    counts = _one_value_per_row(df, target)
+    counts = _target_counts(df, target)
     head = counts.filter(F.col("value").isNotNull()).orderBy(F.col("cnt").desc(), "value").limit(top)
     s = target_summary(df, target).select(F.struct(
         "n_unique", (F.col("n") - F.col("n_present")).alias("n_missing"),

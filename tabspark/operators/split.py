@@ -14,29 +14,42 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabspark.config import EngineConfig
 from tabspark.functions.expr import as_text, col, dtype_of, present, row_digest
-from tabspark.functions.rank import hash_cuts, hash_order
+from tabspark.functions.rank import hash_order, position_cuts
 from tabspark.operators.quality import target_summary
+from tabspark.session import scratch_path
 
 MAX_STRATA = 50
+ROW_KEY, ROW_TIE = "_row_key", "_row_tie"
+
+
+def stage_rows(df: DataFrame) -> DataFrame:
+    """Writes a table once with a key per row: the digest of the row, and a tie-break between equal rows.
+
+    The tie-break is any unique number, fixed by writing it. Distinct rows are
+    ordered by their content alone; only copies of one row are told apart by it,
+    so that copies, however many, are shared out like any other rows.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    (df.withColumn(ROW_KEY, row_digest(df)).withColumn(ROW_TIE, F.md5(F.monotonically_increasing_id().cast("string")))
+     .write.parquet(path))
+    return df.sparkSession.read.parquet(path)
 
 
 @dataclass(frozen=True)
 class CutPlan:
-    """Per stratum the hash positions that separate the parts."""
+    """Per stratum the positions that separate the parts."""
     labels: tuple
-    key: str | None
+    key: str
     target: str | None
     seed: int
     cuts: dict
-    totals: dict
 
     def apply(self, df: DataFrame, out: str) -> DataFrame:
-        key = _key(df, self.key)
-        rows = df.withColumn("_pos", F.concat(hash_order(key, self.seed), F.lit("|"), key.cast("string")))
+        rows = df.withColumn("_pos", _position(df, self.key, self.seed)[0])
         group = _stratum(df, self.target)
         chosen = None
         for g, cuts in self.cuts.items():
-            literal = F.array(*[F.lit(f"{c[0]}|{c[1]}" if c else "") for c in cuts])
+            literal = F.array(*[F.lit(c or "") for c in cuts])
             test = group.isNull() if g is None else group == F.lit(g)
             chosen = F.when(test, literal) if chosen is None else chosen.when(test, literal)
         rows = rows.withColumn("_cut", chosen)
@@ -47,8 +60,12 @@ class CutPlan:
         return rows.withColumn(out, part.otherwise(F.lit(self.labels[-1]))).drop("_pos", "_cut")
 
 
-def _key(df: DataFrame, key: str | None) -> Column:
-    return row_digest(df) if key is None else as_text(col(key), dtype_of(df, key))
+def _position(df: DataFrame, key: str, seed: int) -> tuple[Column, int]:
+    """Place of a row in hash order, and how many uniform hex digits it starts with."""
+    if key == ROW_KEY:
+        return F.concat(hash_order(col(ROW_KEY), seed), col(ROW_TIE)), 64
+    text = as_text(col(key), dtype_of(df, key))
+    return F.concat(hash_order(text, seed), F.lit("|"), text), 32
 
 
 def _stratum(df: DataFrame, target: str | None) -> Column:
@@ -57,6 +74,12 @@ def _stratum(df: DataFrame, target: str | None) -> Column:
     return as_text(present(col(target), dtype_of(df, target)), dtype_of(df, target))
 
 
+def _fit(df: DataFrame, key: str, target: str | None, labels: tuple, ranks, config: EngineConfig) -> CutPlan:
+    position, digits = _position(df, key, config.seed)
+    return CutPlan(labels, key, target, config.seed,
+                   position_cuts(df, _stratum(df, target), position, digits, ranks, config))
+
+
 def stratify_decision(df: DataFrame, target: str, task: str = "classification") -> DataFrame:
     """(stratify, n_classes, min_class): two rows per class and 50 classes at most."""
     return target_summary(df, target).select(
@@ -64,9 +87,12 @@ def stratify_decision(df: DataFrame, target: str, task: str = "classification")
         .alias("stratify"), F.col("n_unique").alias("n_classes"), "min_class")
 
 
-def fit_split(df: DataFrame, key: str | None = None, target: str | None = None,
+def fit_split(df: DataFrame, key: str, target: str | None = None,
               task: str = "classification", config: EngineConfig = EngineConfig()) -> CutPlan:
-    """Quotas: ceil of the test share, then ceil of the validation share of the rest."""
+    """Quotas: ceil of the test share, then ceil of the validation share of the rest.
+
+    Rows with the same key stay together; ``split`` without a key keys every row.
+    """
     strata = None
     if target is not None and stratify_decision(df, target, task).first()["stratify"]:
         strata = target
@@ -75,16 +101,17 @@ def fit_split(df: DataFrame, key: str | None = None, target: str | None = None,
         n_test = math.ceil(config.test_size * n)
         return [n_test, n_test + math.ceil(config.val_size * (n - n_test))]
 
-    cuts, totals = hash_cuts(df, _stratum(df, strata), _key(df, key), config.seed, ranks, config)
-    return CutPlan(("test", "val", "train"), key, strata, config.seed, cuts, totals)
+    return _fit(df, key, strata, ("test", "val", "train"), ranks, config)
 
 
 def split(df: DataFrame, key: str | None = None, target: str | None = None, task: str = "classification",
           config: EngineConfig = EngineConfig(), out: str = "split") -> DataFrame:
-    return fit_split(df, key, target, task, config).apply(df, out)
+    if key is None:
+        df, key = stage_rows(df), ROW_KEY
+    return fit_split(df, key, target, task, config).apply(df, out).drop(ROW_KEY, ROW_TIE)
 
 
-def fit_folds(df: DataFrame, key: str | None = None, target: str | None = None,
+def fit_folds(df: DataFrame, key: str, target: str | None = None,
               k: int | None = None, config: EngineConfig = EngineConfig()) -> CutPlan:
     """k contiguous folds per stratum; the first ``n mod k`` folds hold one row more."""
     k = k or config.cv_folds
@@ -95,16 +122,17 @@ def fit_folds(df: DataFrame, key: str | None = None, target: str | None = None,
     def ranks(n: int) -> list[int]:
         return [(n // k) * (j + 1) + min(j + 1, n % k) for j in range(k - 1)]
 
-    cuts, totals = hash_cuts(df, _stratum(df, strata), _key(df, key), config.seed, ranks, config)
-    return CutPlan(tuple(range(k)), key, strata, config.seed, cuts, totals)
+    return _fit(df, key, strata, tuple(range(k)), ranks, config)
 
 
 def assign_folds(df: DataFrame, key: str | None = None, target: str | None = None, k: int | None = None,
                  config: EngineConfig = EngineConfig(), out: str = "fold") -> DataFrame:
-    return fit_folds(df, key, target, k, config).apply(df, out)
+    if key is None:
+        df, key = stage_rows(df), ROW_KEY
+    return fit_folds(df, key, target, k, config).apply(df, out).drop(ROW_KEY, ROW_TIE)
 
 
-def split_with_folds(df: DataFrame, key: str | None, target: str | None, config: EngineConfig = EngineConfig(),
+def split_with_folds(df: DataFrame, key: str, target: str | None, config: EngineConfig = EngineConfig(),
                      out: str = "split", fold: str = "fold") -> DataFrame:
     """Split and folds of the train rows from one fit.
 
@@ -119,8 +147,7 @@ def split_with_folds(df: DataFrame, key: str | None, target: str | None, config:
         rest = n - held
         return [n_test, held] + [held + (rest // k) * (j + 1) + min(j + 1, rest % k) for j in range(k - 1)]
 
-    cuts, totals = hash_cuts(df, _stratum(df, target), _key(df, key), config.seed, ranks, config)
-    plan = CutPlan((-2, -1, *range(k)), key, target, config.seed, cuts, totals)
+    plan = _fit(df, key, target, (-2, -1, *range(k)), ranks, config)
     part = F.col("_part")
     return (plan.apply(df, "_part")
             .withColumn(out, F.when(part == -2, "test").when(part == -1, "val").otherwise("train"))
