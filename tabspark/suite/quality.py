@@ -289,3 +289,9 @@ SELECT "column", task, round(confidence, 6) AS confidence, n AS n_samples, u AS
        dtype, n - total AS null_count, round((n - total) / n, 6) + 0.0 AS null_ratio FROM verdict JOIN p USING ("column")""")
 def detect_details(spark, d):
     return rounded(_over_targets(spark, d, t.detect_details))
+
+
+@query("sample_values", """
+SELECT CAST(o_orderstatus AS STRING) AS sample_value FROM orders WHERE o_orderstatus IS NOT NULL ORDER BY o_orderkey LIMIT 10""")
+def sample_values(spark, d):
+    return t.sample_values(table(spark, d, "orders"), "o_orderstatus", 10, ["o_orderkey"])
