@@ -41,5 +41,8 @@ class EngineConfig:
     quantile_buffer_rows: int = 100_000
     rank_bucket_rows: int = 100_000
 
+    # Models (or folds) fitted at the same time.
+    parallelism: int = 2
+
     # Preprocessing variants: "standard" or "centered" (frequency - 0.5).
     freq_scaling: str = "standard"
