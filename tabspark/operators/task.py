@@ -77,29 +77,32 @@ def _votes(config: EngineConfig) -> list[tuple[str, Column]]:
     ]
 
 
-def _with_votes(df: DataFrame, targets: list[str], config: EngineConfig) -> DataFrame:
-    """The profile of every target with the list of votes its rules cast."""
+def _votes_cast(config: EngineConfig) -> Column:
+    """The list of (rule, vote) of the rules that vote."""
     cast = F.array(*[F.struct(F.lit(name).alias("rule"), v.alias("vote")) for name, v in _votes(config)])
-    return target_profile(df, targets).withColumn("votes", F.filter(cast, lambda x: x["vote"].isNotNull()))
+    return F.filter(cast, lambda x: x["vote"].isNotNull())
 
 
 def detect_rules(df: DataFrame, targets: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
     """(column, rule, task, confidence) for every rule that votes."""
-    return (_with_votes(df, targets, config).select("column", F.explode("votes").alias("v"))
+    return (target_profile(df, targets).select("column", F.explode(_votes_cast(config)).alias("v"))
             .select("column", "v.rule", "v.vote.task", "v.vote.confidence"))
 
 
 def _with_verdict(df: DataFrame, targets: list[str], config: EngineConfig) -> DataFrame:
     """Adds task and confidence: the greater sum decides, the winner's mean is the confidence."""
-    for_task = lambda task: F.transform(
-        F.filter("votes", lambda x: x["vote"]["task"] == task), lambda x: x["vote"]["confidence"])
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
-    voted = (_with_votes(df, targets, config)
-             .withColumn("_clf", for_task(CLF)).withColumn("_reg", for_task(REG))
-             .withColumn("_c", total("_clf")).withColumn("_r", total("_reg")))
-    wins = F.col("_c") > F.col("_r")
-    return (voted.withColumn("task", F.when(wins, CLF).otherwise(REG))
-            .withColumn("confidence", F.when(wins, F.col("_c") / F.size("_clf")).otherwise(F.col("_r") / F.size("_reg"))))
+    def tally(task: str) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+        return F.aggregate("votes", start, lambda acc, x: F.when(
+            x["vote"]["task"] == task,
+            F.struct((acc["sum"] + x["vote"]["confidence"]).alias("sum"), (acc["n"] + 1).alias("n"))).otherwise(acc))
+
+    clf, reg = F.col("_clf"), F.col("_reg")
+    wins = clf["sum"] > reg["sum"]
+    return (target_profile(df, targets).select("*", _votes_cast(config).alias("votes"))
+            .select("*", tally(CLF).alias("_clf"), tally(REG).alias("_reg"))
+            .select("*", F.when(wins, CLF).otherwise(REG).alias("task"),
+                    F.when(wins, clf["sum"] / clf["n"]).otherwise(reg["sum"] / reg["n"]).alias("confidence")))
 
 
 def detect_task(df: DataFrame, targets: list[str], override: str | None = None,
