@@ -1,6 +1,8 @@
 """All queries of the package; importing the modules fills the registry."""
 
-from tabspark.llm import op1_quality, op4_token_files, op5_packing  # noqa: F401
+from tabspark.llm import (  # noqa: F401
+    op1_quality, op2_warc, op4_token_files, op5_packing, op6_neighbours, op8_licences, op9_lm_scoring, op10_decontaminate,
+)
 from tabspark.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
