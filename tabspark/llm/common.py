@@ -70,6 +70,23 @@ def join_by_count(rows: DataFrame, counts: DataFrame, keys: list[str], total: in
     return marked.select(*rows.columns, *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values])
 
 
+def hashed_sample(df: DataFrame, keys: list[str], total: int, rows: int) -> DataFrame:
+    """About ``rows`` (if there are so many of ``total``) rows of ``df``, by the hash of their keys."""
+    share = min(1.0, 1.1 * (rows + 100) / max(total, 1))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) <= int(share * (1 << 30)))
+
+
+def one_of_hot_texts(texts: DataFrame, copies: DataFrame, total: int, hot: int) -> DataFrame:
+    """``texts`` (k1, k2, key, ...) with only one row of each text that one row in ``hot`` has.
+
+    ``copies`` has (k1, k2, n, keep), keep being the key of the row that stays;
+    rows with equal keys stay together.
+    """
+    often = copies.where((F.col("n") > 1) & (F.col("n") * hot >= total)).select("k1", "k2", F.col("keep").alias("_keep"))
+    return (texts.join(F.broadcast(often), ["k1", "k2"], "left")
+            .where(F.col("_keep").isNull() | (F.col("key") == F.col("_keep"))).drop("_keep", "key"))
+
+
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over undirected edges.
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm.common import fold, table, text_bytes
+from tabspark.llm.common import fold, hashed_sample, table, text_bytes
 from tabspark.llm.registry import query
 
 #: Statistics of a text, in the order of the feature columns.
@@ -131,8 +131,8 @@ def _features(texts) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep, max_rows: int) -> DataFrame:
     """Features and label of at most ``max_rows`` labelled documents, chosen by the hash of their id."""
-    chosen = (labels.where(keep & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-              .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+    labels = labels.where(keep & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    chosen = (hashed_sample(labels, ["doc_id"], labels.count(), max_rows).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     rows = docs.select("doc_id", text_bytes().alias("_data")).join(F.broadcast(chosen), "doc_id")
 
@@ -148,7 +148,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep, max_rows
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, max_rows: int = 20_000, **grow) -> Trees:
     """Fits on a bounded sample of labelled rows (``max_rows``) for which ``keep`` holds."""
     keep = F.lit(True) if keep is None else keep
-    rows = training_rows(docs, labels, label, keep, max_rows).orderBy("k", "y").toPandas()
+    rows = training_rows(docs, labels, label, keep, max_rows).toPandas().sort_values(["k", "y"], kind="stable")
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit_trees(x, rows["y"].to_numpy(np.float64), **grow)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tabspark.llm.common import stored, table
+from tabspark.llm.common import hashed_sample, stored, table
 from tabspark.llm.registry import query
 
 #: Rows (and bytes) the lists and the number of probes are learned from; every row is indexed.
@@ -131,7 +131,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97)
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     dims = sizes["d"]
     usable = usable.where(F.size("v") == dims)
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dims))))
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dims)))
+    sample = hashed_sample(usable, ["vec_id"], sizes["n"], most).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
     index = learn_index(np.array([r["v"] for r in sample.select("v").toLocalIterator()], np.float64), sizes["n"], sizes["bound"], k, recall)
     shared = spark.sparkContext.broadcast(index)
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm.common import join_by_count, stored, table, text_bytes
+from tabspark.llm.common import join_by_count, one_of_hot_texts, stored, table, text_bytes
 from tabspark.llm.registry import query
 from tabspark.llm.suffix import anchor_runs, repeated_starts, window_hashes
 
@@ -110,9 +110,7 @@ def repeated_parts(docs: DataFrame, length: int = 200, gram: int = GRAM, sort_by
     copies = stored(docs.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("key").alias("keep")).where("n > 1"), "copies")
     hot_copies = copies.where(F.col("n") * hot >= rows).select("k1", "k2", F.col("keep").alias("hot_keep"))
     # of a hot text one row takes part; that it has copies is known
-    texts = docs.join(F.broadcast(hot_copies), ["k1", "k2"], "left").where(
-        F.col("hot_keep").isNull() | (F.col("key") == F.col("hot_keep"))).select("k1", "k2", "data").where(
-        F.octet_length("data") >= length)
+    texts = one_of_hot_texts(docs, copies, rows, hot).where(F.octet_length("data") >= length)
     runs = _runs(texts, length, gram)
     seen = (runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"),
                                      F.bool_or("again").alias("again"))
