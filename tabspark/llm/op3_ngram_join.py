@@ -143,11 +143,12 @@ def _large_clusters(members: DataFrame, size: int, percent: int, block: int, hot
 
 def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int = HOT, cluster_sets: int = CLUSTER_SETS,
                    cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
-    """Adds n_shingles and component_id to the rows of ``docs`` (doc_id, text; other columns stay).
+    """Adds n_shingles, component_id and component to the rows of ``docs`` (doc_id, text; other columns stay).
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| for their
     sets of ``size``-word shingles. component_id is the smallest doc_id that
-    links reach, itself included; a null doc_id is never the smallest. Null
+    links reach, itself included; a null doc_id is never the smallest. component
+    is a key of the group, null for texts without words. Null
     texts and texts without words have no shingles and are linked with nothing.
     Repeated rows, and rows with equal doc_id, are linked like any others.
     """
@@ -209,15 +210,16 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int =
                      .join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
     roots = stored(classes.groupBy("root").agg(F.count("*").alias("n"), F.min("low").alias("component_id")), "roots")
     of_class = join_by_count(classes.select("node", "root", "m"), roots, ["root"], classes.count(), hot, ["node"])
-    of_class = of_class.select("node", F.col("m").alias("n"), "component_id")
+    of_class = of_class.select("node", F.col("m").alias("n"), "component_id", F.col("root").alias("component"))
     of_text = join_by_count(keys.where("n_shingles > 0"), stored(of_class, "classes"), ["node"], keys.count(), hot, ["k1", "k2"])
-    of_text = of_text.select("k1", "k2", "n_shingles", "component_id").union(
-        keys.where("n_shingles = 0").select("k1", "k2", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    none = F.lit(None).cast("long")
+    of_text = of_text.select("k1", "k2", "n_shingles", "component_id", "component").union(
+        keys.where("n_shingles = 0").select("k1", "k2", "n_shingles", none, none))
     of_text = stored(of_text.join(copies.select("k1", "k2", "n"), ["k1", "k2"]), "texts")
     out = join_by_count(rows, of_text, ["k1", "k2"], total, hot, [doc_id, "k1"])
     alone = F.col("n_shingles") == 0
     return out.select(*[F.col(n).alias(o) for n, o in zip(named, docs.columns)], "n_shingles",
-                      F.when(alone, F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"))
+                      F.when(alone, F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"), "component")
 
 
 @query("op3_ngram_join")

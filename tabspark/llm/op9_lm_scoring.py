@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -84,16 +85,18 @@ def train_ppm(texts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS, tr
         levels[k] = level
         found.append(level.groupBy(context.alias("context")).agg(F.sum("n").alias("m"))
                      .where(F.col("m") * contexts >= total).withColumn("k", F.lit(k)))
-    kept = reduce(DataFrame.union, found).toPandas()
-    if len(kept) > trie:
-        cutoff = np.partition(kept["m"].to_numpy(), len(kept) - trie - 1)[len(kept) - trie - 1]
-        kept = kept[(kept["m"] > cutoff) | (kept["k"] == 0)]
+    kept = reduce(DataFrame.union, found).toArrow()  # at most ``contexts`` rows for each order
+    context_of, m, k_of = (kept[c].to_numpy() for c in ("context", "m", "k"))
+    chosen = np.ones(len(m), bool)
+    if len(m) > trie:
+        chosen = (m > np.partition(m, len(m) - trie - 1)[len(m) - trie - 1]) | (k_of == 0)
     entries = {}
     for k in range(order + 1):
-        own = texts.sparkSession.createDataFrame(kept.loc[kept["k"] == k, ["context"]], "context long")
-        rows = (levels[k].withColumn("context", context).join(F.broadcast(own), "context")
-                .orderBy("gram").select("gram", "n").toPandas())
-        entries[k] = (rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+        own = texts.sparkSession.createDataFrame(pa.table({"context": context_of[chosen & (k_of == k)].astype(np.int64)}))
+        rows = levels[k].withColumn("context", context).join(F.broadcast(own), "context").select("gram", "n").toArrow()
+        gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
+        by = np.argsort(gram)
+        entries[k] = (gram[by].astype(np.int64), n[by].astype(np.float64))
     return ppm.compile_trie(order, entries)
 
 
@@ -114,7 +117,8 @@ def score_corpus(docs: DataFrame, trained: Column, order: int = ORDER, contexts:
     found = words.agg(F.count("*"), F.sum("n")).first()
     n, v = (found[1] or 0) + ends, found[0] + (1 if ends else 0)
     cells = n + 0.5 * (v + 1)
-    common = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") * common_words >= n).collect()}
+    often = words.where(F.col("n") * common_words >= n).toArrow()
+    common = dict(zip(often["word"].to_pylist(), often["n"].to_pylist()))
     shared = spark.sparkContext.broadcast((train_ppm(texts, order, contexts, trie), common))
 
     def run(batches):

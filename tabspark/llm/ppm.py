@@ -108,48 +108,63 @@ def compile_trie(order: int, entries: dict[int, tuple[np.ndarray, np.ndarray]])
         contexts.append(np.unique(grams >> BITS))
         first.append(n)
         n += len(contexts[-1])
-    follow = np.zeros((n, a + 1), np.int32)
-    log = np.zeros((n, a + 1))
-    counts = np.zeros((n, a))
+    log = np.zeros((n, a + 1), np.float32)
+    counts = np.zeros((n, a), np.float32)
     escape = np.zeros(n)  # log of a context's own escape
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k in range(order + 1):
-            rows = slice(first[k], first[k] + len(contexts[k]))
-            if not len(contexts[k]):
-                continue
-            grams, c = entries[k]
-            counts[first[k] + np.searchsorted(contexts[k], grams >> BITS), column[grams & mask(1)]] = c
-            if k > 0 or a < SYMBOLS:  # no escape once every symbol is seen
-                counts[rows] = np.maximum(counts[rows] - ESCAPE, 0.0)
-            own = counts[rows]
-            seen = own > 0
-            away = ESCAPE * seen.sum(1) * (k > 0 or a < SYMBOLS)
-            whole = own.sum(1) + away
-            escape[rows] = np.log(away / whole)
-            if k == 0:
-                rest = np.full((1, a + 1), -np.log(max(SYMBOLS - a, 1)))
-            else:
-                parent = first[k - 1] + np.searchsorted(contexts[k - 1], contexts[k] & mask(k - 1))
-                left = np.where(seen, 0.0, counts[parent])
-                fresh = ESCAPE * (left > 0).sum(1) * (k > 1 or a < SYMBOLS)
-                den = left.sum(1) + fresh
-                onward = np.where(den > 0, np.log(fresh / den), 0.0)[:, None]
-                below = log[parent] - escape[parent][:, None]
-                rest = onward + below
-                rest[:, :a] = np.where(left > 0, np.log(left / den[:, None]), rest[:, :a])
-            log[rows] = escape[rows][:, None] + rest
-            log[rows, :a] = np.where(seen, np.log(own / whole[:, None]), log[rows, :a])
-    longest = np.zeros((n, a), np.int32)
     for k in range(order + 1):
         if not len(contexts[k]):
             continue
-        rows = slice(first[k], first[k] + len(contexts[k]))
-        joined = (contexts[k][:, None] << BITS) | alphabet[None, :]
-        for size in range(1, min(k + 1, order) + 1):
-            if not len(contexts[size]):
-                break
-            key = joined & mask(size)
-            at = np.minimum(np.searchsorted(contexts[size], key), len(contexts[size]) - 1)
-            longest[rows] = np.where(contexts[size][at] == key, first[size] + at, longest[rows])
-    follow[:, :a] = longest
-    return Automaton(order, column, follow.ravel(), (log / np.log(10)).astype(np.float32).ravel(), a + 1)
+        grams, c = entries[k]
+        gives = ESCAPE if k > 0 or a < SYMBOLS else 0.0  # no escape once every symbol is seen
+        counts[first[k] + np.searchsorted(contexts[k], grams >> BITS), column[grams & mask(1)]] = c - gives
+        for start in range(0, len(contexts[k]), 4096):  # a part at a time, for the sake of memory
+            part = contexts[k][start:start + 4096]
+            rows = slice(first[k] + start, first[k] + start + len(part))
+            parent = first[k - 1] + np.searchsorted(contexts[k - 1], part & mask(k - 1)) if k else None
+            log[rows], escape[rows] = _distribution(
+                counts[rows].astype(np.float64), gives, a, None if k == 0 else (
+                    counts[parent].astype(np.float64), ESCAPE if k > 1 or a < SYMBOLS else 0.0, log[parent], escape[parent]))
+    del counts
+    follow = np.zeros((n, a + 1), np.int32)
+    for k in range(order + 1):
+        if not len(contexts[k]):
+            continue
+        for start in range(0, len(contexts[k]), 4096):
+            part = contexts[k][start:start + 4096]
+            joined = (part[:, None] << BITS) | alphabet[None, :]
+            longest = np.zeros(joined.shape, np.int32)
+            for size in range(1, min(k + 1, order) + 1):
+                if not len(contexts[size]):
+                    break
+                key = joined & mask(size)
+                at = np.minimum(np.searchsorted(contexts[size], key), len(contexts[size]) - 1)
+                longest = np.where(contexts[size][at] == key, first[size] + at, longest)
+            follow[first[k] + start:first[k] + start + len(part), :a] = longest
+    log /= np.float32(np.log(10))
+    return Automaton(order, column, follow.ravel(), log.ravel(), a + 1)
+
+
+def _distribution(own: np.ndarray, gives: float, a: int, parent) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of all symbols (unseen ones last) in some contexts of one order, and of their escapes.
+
+    ``parent``: counts, what each symbol gives to the escape, log probabilities
+    and escapes of the next shorter contexts; None for the empty context.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = own > 0
+        away = gives * seen.sum(1)
+        whole = own.sum(1) + away
+        escape = np.log(away / whole)
+        if parent is None:
+            rest = np.full((len(own), a + 1), -np.log(max(SYMBOLS - a, 1)))
+        else:
+            below, below_gives, below_log, below_escape = parent
+            left = np.where(seen, 0.0, below)  # symbols seen here are excluded there
+            fresh = below_gives * (left > 0).sum(1)
+            all_left = left.sum(1) + fresh
+            onward = np.where(all_left > 0, np.log(fresh / all_left), 0.0)
+            rest = (onward - below_escape)[:, None] + below_log
+            rest[:, :a] = np.where(left > 0, np.log(left / all_left[:, None]), rest[:, :a])
+        log = escape[:, None] + rest
+        log[:, :a] = np.where(seen, np.log(own / whole[:, None]), log[:, :a])
+    return log.astype(np.float32), escape
