@@ -17,6 +17,18 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added until they differ from all taken ones in any case."""
+    used = {n.lower() for n in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dtype_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

@@ -13,7 +13,7 @@ from pyspark.ml.util import (
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabspark.config import EngineConfig
-from tabspark.functions.expr import as_text, col, countable_columns, dtype_of, present
+from tabspark.functions.expr import as_text, col, countable_columns, dtype_of, free_names, present
 from tabspark.functions.rank import column_ranges, exact_quantiles
 from tabspark.operators.valuecounts import value_counts
 from tabspark.session import scratch_path
@@ -134,9 +134,9 @@ class FrequencyEncoderModel(Model, HasInputCols, MLReadable, MLWritable):
         return (self.getOrDefault("nCategories") <= self.getOrDefault("broadcastRows")
                 and self.getOrDefault("nBytes") <= self.getOrDefault("broadcastBytes"))
 
-    def _lookup(self, column: str) -> DataFrame:
+    def _lookup(self, column: str, value: str, frequency: str) -> DataFrame:
         return self.table.filter(F.col("column") == column).select(
-            F.col("value").alias("_value"), F.col("frequency").alias("_frequency"))
+            F.col("value").alias(value), F.col("frequency").alias(frequency))
 
     def encode(self, dataset: DataFrame, outputs: dict[str, str]) -> DataFrame:
         """Append one frequency column per entry of ``outputs`` (input column -> new column)."""
@@ -147,41 +147,45 @@ class FrequencyEncoderModel(Model, HasInputCols, MLReadable, MLWritable):
                 continue
             order = dataset.columns
             text = as_text(col(c), dtype_of(dataset, c))
+            key, value, frequency = free_names(order, "_key", "_value", "_frequency")
             if small:
-                joined = (dataset.withColumn("_key", text)
-                          .join(F.broadcast(self._lookup(c)), F.col("_key") == F.col("_value"), "left")
-                          .withColumn("_new", F.coalesce("_frequency", F.lit(0.0))))
+                joined = (dataset.withColumn(key, text)
+                          .join(F.broadcast(self._lookup(c, value, frequency)), F.col(key) == F.col(value), "left"))
+                new = F.coalesce(frequency, F.lit(0.0))
             else:
-                joined = self._join_large(dataset, text, self._lookup(c))
-            dataset = joined.select([col(n) for n in order] + [F.col("_new").alias(out)])
+                joined, new = self._join_large(dataset, text, self._lookup(c, value, frequency))
+            dataset = joined.select([col(n) for n in order] + [new.alias(out)])
         return dataset
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        outputs = {c: f"_freq_{i}" for i, c in enumerate(self.getInputCols())}
+        columns = self.getInputCols()
+        outputs = dict(zip(columns, free_names([*dataset.columns, *columns], *[f"_freq_{i}" for i in range(len(columns))])))
         wide = self.encode(dataset, outputs)
         kept = [F.col(outputs[n]).alias(n) if n in outputs else col(n) for n in dataset.columns]
         return wide.select(kept + [F.col(o).alias(c) for c, o in outputs.items() if c not in dataset.columns])
 
     @staticmethod
-    def _join_large(dataset: DataFrame, text: Column, lookup: DataFrame) -> DataFrame:
+    def _join_large(dataset: DataFrame, text: Column, lookup: DataFrame) -> tuple[DataFrame, Column]:
         """Frequent categories by broadcast, the others by a shuffle join.
 
         At most a thousand categories reach the hot threshold. Rows that found
         their value there enter the shuffle without a key, spread by a salt, so
         a category holding a third of the rows does not fill one partition.
         """
-        hot = lookup.filter(F.col("_frequency") >= _HOT_FREQUENCY).select(
-            F.col("_value").alias("_hot_value"), F.col("_frequency").alias("_hot"))
-        cold = lookup.filter(F.col("_frequency") < _HOT_FREQUENCY).withColumn("_cold_salt", F.lit(0))
-        done = F.col("_hot").isNotNull() | F.col("_key").isNull()
+        value, frequency = lookup.columns
+        key, hot_value, hot_share, cold_key, cold_salt, salt = free_names(
+            [*dataset.columns, value, frequency], "_key", "_hot_value", "_hot", "_cold_key", "_cold_salt", "_salt")
+        hot = lookup.filter(F.col(frequency) >= _HOT_FREQUENCY).select(
+            F.col(value).alias(hot_value), F.col(frequency).alias(hot_share))
+        cold = lookup.filter(F.col(frequency) < _HOT_FREQUENCY).withColumn(cold_salt, F.lit(0))
+        done = F.col(hot_share).isNotNull() | F.col(key).isNull()
         spread = F.pmod(F.xxhash64(*[col(n) for n in countable_columns(dataset)]), F.lit(_SALTS))
-        rows = (dataset.withColumn("_key", text)
-                .join(F.broadcast(hot), F.col("_key") == F.col("_hot_value"), "left")
-                .withColumn("_cold_key", F.when(~done, F.col("_key")))
-                .withColumn("_salt", F.when(done, spread.cast("int") + 1).otherwise(F.lit(0))))
-        return (rows.join(cold, (F.col("_cold_key") == F.col("_value")) & (F.col("_salt") == F.col("_cold_salt")),
-                          "left")
-                .withColumn("_new", F.coalesce("_hot", "_frequency", F.lit(0.0))))
+        rows = (dataset.withColumn(key, text)
+                .join(F.broadcast(hot), F.col(key) == F.col(hot_value), "left")
+                .withColumn(cold_key, F.when(~done, F.col(key)))
+                .withColumn(salt, F.when(done, spread.cast("int") + 1).otherwise(F.lit(0))))
+        joined = rows.join(cold, (F.col(cold_key) == F.col(value)) & (F.col(salt) == F.col(cold_salt)), "left")
+        return joined, F.coalesce(hot_share, frequency, F.lit(0.0))
 
     def write(self) -> MLWriter:
         return _FrequencyWriter(self)

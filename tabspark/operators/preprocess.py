@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabspark.config import EngineConfig
 from tabspark.functions.expr import (
-    as_text, categorical_columns, col, dtype_of, numeric_columns, present,
+    as_text, categorical_columns, col, dtype_of, free_names, numeric_columns, present,
 )
 from tabspark.functions.rank import column_ranges, exact_quantiles
 from tabspark.operators.encode import (
@@ -152,6 +152,11 @@ class TablePreprocessorModel(Model, HasOutputCol, MLReadable, MLWritable):
     def fitted(self) -> dict:
         return json.loads(self.getOrDefault("state"))
 
+    def input_names(self) -> list[str]:
+        """Columns that the features are made of."""
+        s = self.fitted
+        return [x["name"] for kind in ("numeric", "frequency", "one_hot") for x in s[kind]]
+
     def feature_names(self) -> list[str]:
         s = self.fitted
         return ([x["name"] for x in s["numeric"]] + [x["name"] for x in s["frequency"]]
@@ -172,7 +177,9 @@ class TablePreprocessorModel(Model, HasOutputCol, MLReadable, MLWritable):
     def _encoded(self, df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
         if self.encoder is None:
             return df, {}
-        names = {c: f"_freq_{i}" for i, c in enumerate(self.encoder.getInputCols())}
+        columns = self.encoder.getInputCols()
+        free = free_names([*df.columns, *columns], *[f"_freq_{i}" for i in range(len(columns))])
+        names = dict(zip(columns, free))
         return self.encoder.encode(df, names), names
 
     def wide(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -182,9 +189,9 @@ class TablePreprocessorModel(Model, HasOutputCol, MLReadable, MLWritable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         encoded, names = self._encoded(dataset)
         exprs = self._expressions(dataset, names)
-        parts = [f"_part_{i}" for i in range(len(exprs))]
         out = self.getOutputCol()
-        wide = encoded.select([col(c) for c in dataset.columns if c != out]
+        parts = free_names([*dataset.columns, out], *[f"_part_{i}" for i in range(len(exprs))])
+        wide = encoded.select([col(c) for c in dataset.columns if c.lower() != out.lower()]
                               + [e.alias(p) for e, p in zip(exprs, parts)])
         assembled = VectorAssembler(inputCols=parts, outputCol=out).transform(wide).drop(*parts)
         attrs = [{"idx": i, "name": n} for i, n in enumerate(self.feature_names())]
