@@ -37,14 +37,14 @@ def _count_words(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for t in batch["data"]:
                 seen.update(t.lower().split())
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     yield out()
         yield out()
 
     return texts.mapInPandas(run, "word binary, n long")
 
 
-def _count_grams(texts: DataFrame, order: int, block: int = 4_000_000) -> DataFrame:
+def _count_grams(texts: DataFrame, order: int, block: int = 2_000_000) -> DataFrame:
     """(gram, n) partial counts of ``order`` + 1 symbols by block of text."""
     def run(batches):
         block_texts: list = []
@@ -130,7 +130,7 @@ def score_corpus(docs: DataFrame, trained: Column, order: int = ORDER, contexts:
             data = list(batch["data"])
             while first < count:
                 last, size = first, 0
-                while last < count and (last == first or size + len(data[last]) <= 2_000_000):
+                while last < count and (last == first or size + len(data[last]) <= 1_000_000):
                     size += len(data[last])
                     last += 1
                 scores = model.score(data[first:last])
