@@ -38,7 +38,6 @@ class EngineConfig:
     # Bounds that keep broadcasts and aggregation buffers small on any input.
     broadcast_rows: int = 200_000
     broadcast_bytes: int = 64 * 1024 * 1024
-    quantile_buffer_rows: int = 100_000
     rank_bucket_rows: int = 100_000
 
     # Models (or folds) fitted at the same time.

@@ -2,8 +2,8 @@
 
 A window without partition keys runs in one task, and ``percentile`` keeps one
 buffer entry per distinct value. Neither survives a large table, so the
-functions here narrow the search with counting passes (each a map-side
-combined aggregate) until the remaining rows are few.
+functions here narrow the search with aggregates that are combined on the map
+side until the remaining rows are few.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabspark.config import EngineConfig
 from tabspark.functions.expr import col, dtype_of, present
 
-_BINS = 2048
+# Brackets of so many rows or fewer are read; the sketch's error is one row in so many.
+_FEW, _ACCURACY = 5_000, 10_000
+_NEAR = 2.0 / _ACCURACY
 
 
 def column_ranges(df: DataFrame, columns: list[str]) -> dict:
@@ -34,101 +36,93 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
                     config: EngineConfig = EngineConfig(), ranges: dict | None = None) -> dict[str, list[float | None]]:
     """Interpolated quantiles of every column, exactly, as plain numbers.
 
-    Small tables need one aggregate. On larger ones each pass counts the rows
-    in equal-width bins of the current bracket and keeps the bin that holds the
-    wanted rank; a bracket that holds one value, or few rows, ends the search.
-    ``ranges`` is the result of ``column_ranges`` where the caller has it already.
+    A sketch names two values of the column close to the wanted rank on either
+    side; counting the rows below and at them tells which of them it is, or
+    leaves the rows between them (some ten-thousandths of all) for the next
+    round. Brackets end in values of the column, so infinities, outliers and
+    ties need no care, and every table takes the same way. ``ranges`` is the
+    result of ``column_ranges`` where the caller has it already.
     """
     if not columns:
         return {}
-    values = df.select([present(col(c), dtype_of(df, c)).cast("double").alias(f"v{i}")
-                        for i, c in enumerate(columns)])
+    values = df.select([present(col(c), dtype_of(df, c)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     counts = ranges or column_ranges(df, columns)
-    if counts["n"] <= config.quantile_buffer_rows:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = values.agg(*[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in range(len(columns))]).first()
-        return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probabilities)
-                for i, c in enumerate(columns)}
-
-    wanted: dict[tuple[int, int], float | None] = {}
+    wanted = {}
     for i in range(len(columns)):
-        for p in probabilities:
-            position = p * (counts[f"c{i}"] - 1)
+        n = counts[f"c{i}"]
+        for p in probabilities if n else ():
+            position = p * (n - 1)
             for rank in {math.floor(position), math.ceil(position)}:
-                wanted[(i, int(rank))] = None
-    extremes = {i: (counts[f"lo{i}"], counts[f"hi{i}"], counts[f"c{i}"]) for i in range(len(columns))}
-    found = _values_at_ranks(values, wanted, extremes, config.quantile_buffer_rows)
-
+                wanted[(i, int(rank))] = (counts[f"lo{i}"], counts[f"hi{i}"], 0, n)
+    found = _values_at_ranks(values, wanted)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
-        n = counts[f"c{i}"]
-        if n == 0:
-            out[c] = [None] * len(probabilities)
-            continue
-        result = []
+        out[c] = []
         for p in probabilities:
-            position = p * (n - 1)
+            position = p * (counts[f"c{i}"] - 1)
+            if not counts[f"c{i}"]:
+                out[c].append(None)
+                continue
             low, high = found[(i, math.floor(position))], found[(i, math.ceil(position))]
-            result.append(low + (high - low) * (position - math.floor(position)))
-        out[c] = result
+            # equal ends, infinite ones too, need no interpolation
+            out[c].append(low if low == high else low + (high - low) * (position - math.floor(position)))
     return out
 
 
-def _values_at_ranks(values: DataFrame, wanted: dict, extremes: dict, buffer_rows: int) -> dict:
-    """Values at zero-based ranks. State per rank: bracket and rows below it."""
-    spark = values.sparkSession
+def _values_at_ranks(values: DataFrame, open_: dict) -> dict:
+    """Values at zero-based ranks. State per (column, rank): bracket, rows below it, rows in it."""
     found: dict[tuple[int, int], float] = {}
-    open_: dict[tuple[int, int], tuple[float, float, int, int]] = {}
-    for key in wanted:
-        low, high, n = extremes[key[0]]
-        if n:
-            open_[key] = (low, high, 0, n)
-    names = values.columns
     while open_:
-        for key, (low, high, below, n) in list(open_.items()):
+        for key, (low, high, _, _) in list(open_.items()):
             if low == high:
                 found[key] = low
                 del open_[key]
-        if not open_:
-            break
-        brackets = sorted({(k[0], s[0], s[1], s[2], s[3]) for k, s in open_.items()})
-        long = values.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), col(names[i]).alias("v")) for i in sorted({b[0] for b in brackets})
-        ])).alias("s")).select("s.i", "s.v")
-        table = F.broadcast(spark.createDataFrame(
-            [(i, lo, hi) for i, lo, hi, _, _ in brackets], "bi int, lo double, hi double"))
-        inside = long.join(table, (F.col("i") == F.col("bi")) & F.col("v").between(F.col("lo"), F.col("hi")))
-        last = all(n <= buffer_rows for *_, n in brackets)
-        if last:
-            binned = inside.groupBy("i", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("n"))
-            w = Window.partitionBy("i", "lo", "hi").orderBy("v")
-            ranked = binned.withColumn("upto", F.sum("n").over(w))
-            asks = F.broadcast(spark.createDataFrame(
-                [(k[0], s[0], s[1], k[1], k[1] - s[2]) for k, s in open_.items()],
-                "ai int, alo double, ahi double, rank long, offset long"))
-            hit = ranked.join(asks, (F.col("i") == F.col("ai")) & (F.col("lo") == F.col("alo"))
-                              & (F.col("hi") == F.col("ahi")) & (F.col("offset") < F.col("upto"))
-                              & (F.col("offset") >= F.col("upto") - F.col("n")))
-            for r in hit.select("i", "rank", "v").collect():
-                found[(r["i"], r["rank"])] = r["v"]
+        few = {(k[0], *s) for k, s in open_.items() if s[3] <= _FEW}
+        large = sorted({(k, *s) for k, s in open_.items() if s[3] > _FEW})
+        aggs, few = [], sorted(few)
+        for j, (i, low, high, _, _) in enumerate(few):
+            aggs.append(F.sort_array(F.collect_list(_inside(i, low, high))).alias(f"f{j}"))
+        shared: dict[tuple, list] = {}  # one sketch for all ranks of a bracket
+        for key, low, high, below, n in large:
+            at = (key[1] - below + 0.5) / n
+            shared.setdefault((key[0], low, high), []).append((key, [min(max(at + d, 0.0), 1.0) for d in (-_NEAR, _NEAR)]))
+        for j, (bracket, asks) in enumerate(shared.items()):
+            near = F.array(*[F.lit(f) for _, ends in asks for f in ends])
+            aggs.append(F.percentile_approx(_inside(*bracket), near, _ACCURACY).alias(f"q{j}"))
+        if not aggs:
             break
-        width = (F.col("hi") / F.lit(2.0) - F.col("lo") / F.lit(2.0)) * F.lit(2.0 / _BINS)
-        bin_ = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(_BINS - 1))
-        bins = (inside.groupBy("i", "lo", "hi", bin_.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-                .collect())
-        by_bracket: dict[tuple, list] = {}
-        for r in bins:
-            by_bracket.setdefault((r["i"], r["lo"], r["hi"]), []).append(r)
-        for key, (low, high, below, _n) in list(open_.items()):
-            for r in sorted(by_bracket[(key[0], low, high)], key=lambda r: r["vmin"]):
-                if key[1] < below + r["n"]:
-                    open_[key] = (r["vmin"], r["vmax"], below, r["n"])
+        row = values.agg(*aggs).first()
+        for j, (i, low, high, below, n) in enumerate(few):
+            for key in [k for k, s in open_.items() if (k[0], *s) == (i, low, high, below, n)]:
+                found[key] = row[f"f{j}"][key[1] - below]
+                del open_[key]
+        if not large:
+            continue
+        ends = {key: row[f"q{j}"][2 * k:2 * k + 2] for j, asks in enumerate(shared.values()) for k, (key, _) in enumerate(asks)}
+        aggs = []
+        for key, low, high, _, _ in large:
+            v, (a, z) = _inside(key[0], low, high), ends[key]
+            between = F.when((v > a) & (v < z), v)
+            aggs += [F.count(F.when(v < a, 1)), F.count(F.when(v == a, 1)), F.count(between), F.count(F.when((v == z) & (z > a), 1)),
+                     F.max(F.when(v < a, v)), F.min(between), F.max(between), F.min(F.when(v > z, v))]
+        row2 = values.agg(*aggs).first()
+        for j, (key, low, high, below, n) in enumerate(large):
+            a, z = ends[key]
+            less, at_a, inner, at_z, last_less, first_in, last_in, first_more = row2[8 * j:8 * j + 8]
+            for size, bracket in ((less, (low, last_less)), (at_a, (a, a)), (inner, (first_in, last_in)),
+                                  (at_z, (z, z)), (n - less - at_a - inner - at_z, (first_more, high))):
+                if key[1] < below + size:
+                    open_[key] = (*bracket, below, size)
                     break
-                below += r["n"]
+                below += size
     return found
 
 
+def _inside(i: int, low: float, high: float) -> Column:
+    v = F.col(f"v{i}")
+    return F.when(v.between(F.lit(low), F.lit(high)), v)
+
+
 def hash_order(key: Column, seed: int) -> Column:
     """Portable pseudo-random order: MD5 of seed and key, as hex text."""
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))

@@ -211,6 +211,8 @@ class AdaptiveBoosting(Estimator, _BoostParams):
                 tree = DecisionTreeRegressor(**common).fit(current)
             scored = tree.transform(current)
             step = self._class_step(scored, label, n_classes) if self.classifies else self._value_step(scored, label)
+            if step is None and not trees and not self.classifies:
+                step = 1.0, F.lit(1.0), True  # the first tree is kept however weak
             if step is None:
                 break
             weight, factor, perfect = step
@@ -246,8 +248,8 @@ class AdaptiveBoosting(Estimator, _BoostParams):
 
     def _value_step(self, scored: DataFrame, label: str):
         gap = F.abs(F.col("_pred") - F.col(label))
-        worst = scored.filter(F.col("_w") > 0).agg(F.max(gap)).first()[0]
-        if worst == 0:
+        worst, size = scored.filter(F.col("_w") > 0).agg(F.max(gap), F.max(F.abs(label))).first()
+        if worst <= 1e-12 * size:  # a leaf's weighted mean is exact up to rounding
             return 1.0, F.lit(1.0), True
         loss = gap / F.lit(worst)
         row = scored.agg(F.sum(loss * F.col("_w")).alias("e"), F.sum("_w").alias("w")).first()

@@ -106,6 +106,7 @@ def auc_by(df: DataFrame, groups: list[str], positive: str, score: str) -> DataF
 
     Equal scores are summed before anything is ordered. Negatives below each
     score come from quantile-binned running sums, so no global sort is needed.
+    The area is null where a class is absent or a labelled row has no score.
     """
     is_pos = col(positive).cast("boolean")
     by_score = df.select(*groups, col(score).cast("double").alias("_score"), is_pos.alias("_p")) \
@@ -114,8 +115,10 @@ def auc_by(df: DataFrame, groups: list[str], positive: str, score: str) -> DataF
     below = running_before(by_score, groups, "_score", "_neg", "_below")
     u = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2.0))
     p, n = F.sum("_pos"), F.sum("_neg")
+    unscored = F.max(F.when(F.col("_score").isNull() | F.isnan("_score"), F.col("_pos") + F.col("_neg")).otherwise(0))
+    area = u / F.nullif(p * n, F.lit(0)).cast("double")
     return below.groupBy(*groups).agg(
-        (u / F.nullif(p * n, F.lit(0)).cast("double")).alias("auc"), p.alias("n_positive"), (p + n).alias("n"))
+        F.when(unscored == 0, area).alias("auc"), p.alias("n_positive"), (p + n).alias("n"))
 
 
 def auc(df: DataFrame, positive: str, score: str) -> DataFrame:

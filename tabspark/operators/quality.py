@@ -77,15 +77,15 @@ def target_summary(df: DataFrame, target: str) -> DataFrame:
 def validate_target(df: DataFrame, target: str, config: EngineConfig = EngineConfig()) -> DataFrame:
     """One row (valid, message, warning) for a target column."""
     n, unique = F.col("n"), F.col("n_unique")
-    null_ratio = (n - F.col("n_present")) / n
-    majority = F.col("max_class") / n
+    null_ratio = F.try_divide(n - F.col("n_present"), n)
+    majority = F.try_divide("max_class", n)
     # Message formats.
     failure = (
         F.when(n == 0, F.lit(f"Target '{target}' is empty"))
         .when(F.col("n_present") == 0, F.lit(f"Target '{target}' is entirely null"))
         .when(null_ratio > config.max_null_ratio, F.format_string(
-            f"Target '{target}' has too many missing values: %.1f%% "
-            f"(max: {config.max_null_ratio * 100:.0f}%%)", null_ratio * 100))
+            f"Target '%s' has too many missing values: %.1f%% (max: {config.max_null_ratio * 100:.0f}%%)",
+            F.lit(target), null_ratio * 100))
         .when(unique == 1, F.concat(F.lit(f"Target '{target}' has only one unique value: "), F.col("some_value")))
         .when((unique <= 50) & (F.col("min_class") < 3), F.format_string(
             "Target has class with only %d sample(s). Each class needs at least 3 samples "
@@ -113,7 +113,7 @@ def nulls_by_column(df: DataFrame) -> DataFrame:
     s, index = _summary(df)
     n = F.col("n")
     rows = [F.struct(F.lit(c).alias("column"), (n - F.col(f"c{i}")).alias("n_missing"),
-                     ((n - F.col(f"c{i}")) * 100.0 / n).alias("missing_pct")) for c, i in index.items()]
+                     F.try_divide((n - F.col(f"c{i}")) * 100.0, n).alias("missing_pct")) for c, i in index.items()]
     return s.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -121,8 +121,8 @@ def null_summary(df: DataFrame) -> DataFrame:
     s, index = _summary(df)
     n = F.col("n")
     missing = {c: n - F.col(f"c{i}") for c, i in index.items()}
-    ratio = F.array(*[m / n for m in missing.values()])
-    above = F.filter(F.array(*[F.when(m / n > 0.5, F.lit(c)) for c, m in missing.items()]),
+    ratio = F.array(*[F.try_divide(m, n) for m in missing.values()])
+    above = F.filter(F.array(*[F.when(F.try_divide(m, n) > 0.5, F.lit(c)) for c, m in missing.items()]),
                      lambda x: x.isNotNull())
     return s.select(
         one_row_sum(list(missing.values())).cast("long").alias("total_nulls"),
@@ -180,7 +180,7 @@ def target_preview(df: DataFrame, target: str, top: int = 10) -> DataFrame:
     head = counts.filter(F.col("value").isNotNull()).orderBy(F.col("cnt").desc(), "value").limit(top)
     s = target_summary(df, target).select(F.struct(
         "n_unique", (F.col("n") - F.col("n_present")).alias("n_missing"),
-        (F.col("n_unique") / F.col("n")).alias("unique_ratio")).alias("s"))
+        F.try_divide("n_unique", "n").alias("unique_ratio")).alias("s"))
     return (head.withColumn("s", s.scalar()).select("value", "cnt", "s.*")
             .withColumn("dtype", F.lit(dtype_of(df, target).simpleString())))
 
@@ -219,7 +219,7 @@ def validation_report(df: DataFrame, target: str | None = None,
         line("n_columns", info, F.lit(""), F.lit(len(index))),
         line("total_nulls", info, F.lit(""), one_row_sum(missing)),
         line("columns_with_nulls", info, F.lit(""), one_row_sum([(m > 0).cast("long") for m in missing])),
-        line("max_null_ratio", info, F.lit(""), F.array_max(F.array(*[m / n for m in missing]))),
+        line("max_null_ratio", info, F.lit(""), F.array_max(F.array(*[F.try_divide(m, n) for m in missing]))),
         line("constant_columns", info, F.array_join(F.array_sort(constant), ","), F.size(constant)),
     )).alias("r")))
     parts.append(high_cardinality_columns(df).agg(

@@ -53,7 +53,10 @@ class ModelSpec:
 
 
 def _depth(p: dict) -> int:
+    """Spark's trees end at MAX_DEPTH: no limit means that one, and a deeper one is said to be cut."""
     d = p.get("max_depth")
+    if d is not None and int(d) > MAX_DEPTH:
+        warnings.warn(f"trees can be {MAX_DEPTH} levels deep at most; max_depth={d} is taken as that", stacklevel=4)
     return MAX_DEPTH if d is None else min(int(d), MAX_DEPTH)
 
 
@@ -190,14 +193,14 @@ CATALOGUE: dict[tuple[str, str], ModelSpec] = {(s.task, s.name): s for s in _SPE
 
 def model_names(task: str) -> list[str]:
     if task not in ("classification", "regression"):
-        raise ValueError(f"Unknown task type: {task}")
+        raise ValueError(f"no models for a task called {task}")
     return [s.name for s in _SPECS if s.task == task]
 
 
 def get_spec(name: str, task: str) -> ModelSpec:
     names = model_names(task)
     if name not in names:
-        raise ValueError(f"Model '{name}' not found for {task}. Available models: {names}")
+        raise ValueError(f"{task} has no model called '{name}', only {', '.join(names)}")
     return CATALOGUE[(task, name)]
 
 
@@ -225,10 +228,14 @@ def param_grid(name: str, task: str) -> dict[str, list[Any]]:
 def sample_grid(name: str, task: str, n_iter: int, seed: int) -> list[dict]:
     """Settings drawn without replacement from the full grid.
 
-    Choices that differ only in settings Spark ML does not have are one choice.
+    Choices that differ only in settings Spark ML does not have, or in depths
+    beyond the deepest tree, are one choice.
     """
     spec = get_spec(name, task)
     active = {k: v for k, v in spec.grid.items() if k not in spec.ignored}
+    if "max_depth" in active:
+        deepest = {MAX_DEPTH if d is None else min(int(d), MAX_DEPTH): d for d in reversed(active["max_depth"])}
+        active["max_depth"] = [d for d in active["max_depth"] if d in deepest.values()]
     if not active:
         return []
     every = [dict(zip(active, values)) for values in itertools.product(*active.values())]

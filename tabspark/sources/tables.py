@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,17 +25,24 @@ _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _INFINITE = r"(?i)^[+-]?inf(inity)?$"
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is valid UTF-8, otherwise Latin-1 (which accepts any byte)."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+def csv_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files to read in each encoding: UTF-8 if every line of a file is valid, otherwise Latin-1 (which accepts any byte)."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("fine"))
+    files = lines.groupBy("file").agg(F.bool_and("fine").alias("fine")).collect()  # one row per file
+    if all(r["fine"] for r in files):
+        return {"UTF-8": [path]}
+    if not any(r["fine"] for r in files):
+        return {"ISO-8859-1": [path]}
+    return {name: [unquote(r["file"]) for r in files if r["fine"] == fine] for name, fine in (("UTF-8", True), ("ISO-8859-1", False))}
 
 
 def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """All cells as text. ``multiline`` allows line breaks inside quotes, at the price of one task per file."""
     try:
-        return (spark.read.option("header", True).option("encoding", csv_encoding(spark, path))
-                .option("escape", '"').option("multiLine", multiline).option("inferSchema", False).csv(path))
+        parts = [spark.read.option("header", True).option("encoding", name).option("escape", '"')
+                 .option("multiLine", multiline).option("inferSchema", False).csv(files)
+                 for name, files in csv_encodings(spark, path).items()]
+        return reduce(DataFrame.unionByName, parts)
     except AnalysisException as error:
         raise _not_found(error, path) from error
 

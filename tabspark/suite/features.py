@@ -159,7 +159,14 @@ def preprocess_wide(spark, d):
     return rounded(model.wide(df, _KEYS), {c: 5 for c in ("l_quantity", "l_discount", "p_brand", "p_name")})
 
 
-@query("feature_names")
+@query("feature_names", f"""
+WITH t AS ({_LINE_PARTS_SQL}), c AS (
+  SELECT * FROM (VALUES (0, 'l_quantity', ''), (1, 'l_discount', ''), (2, 'p_brand', ''), (3, 'p_name', '')) AS v(block, feature, value)
+  UNION ALL SELECT DISTINCT 4, 'l_returnflag_' || coalesce(l_returnflag, 'missing'), coalesce(l_returnflag, 'missing') FROM t
+  UNION ALL SELECT DISTINCT 5, 'l_linestatus_' || l_linestatus, l_linestatus FROM t
+  UNION ALL SELECT DISTINCT 6, 'p_type_' || p_type, p_type FROM t
+  UNION ALL SELECT DISTINCT 7, 'pricey_' || CASE WHEN pricey THEN 'True' ELSE 'False' END, CASE WHEN pricey THEN 'True' ELSE 'False' END FROM t)
+SELECT row_number() OVER (ORDER BY block, value) - 1 AS position, feature FROM c""")
 def feature_names(spark, d):
     """(position, feature) in vector order."""
     model = p.TablePreprocessor(featureCols=_WIDE_FEATURES).fit(line_parts(spark, d))

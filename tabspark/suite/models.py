@@ -15,8 +15,9 @@ from tabspark.plans.catalog import get_spec
 from tabspark.plans.scoring import prediction_summary, score
 from tabspark.plans.workflow import TabularWorkflow
 from tabspark.session import scratch_path
-from tabspark.sources import files, packages, tables
+from tabspark.sources import packages, tables
 from tabspark.streaming.scoring import score_stream
+from tabspark.suite.features import _split_cte
 from tabspark.suite.registry import PARTS_SQL, derived, parts, query, r, rounded, table
 
 # ---- sources ----------------------------------------------------------------
@@ -55,20 +56,9 @@ def csv_scan(spark, d):
     return rounded(tables.read_csv(spark, path))
 
 
-@query("load_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("load_table", "SELECT * FROM orders")
 def load_table(spark, d):
-    return tables.load_table(spark, f"{d}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-
-
-@query("file_info")
-def file_info(spark, d):
-    return files.file_info(spark, d)
-
-
-@query("file_validate")
-def file_validate(spark, d):
-    return files.validate_file(spark, d)
+    return tables.load_table(spark, f"{d}/orders.parquet")
 
 
 # ---- nearest neighbours -----------------------------------------------------
@@ -295,151 +285,330 @@ def cv_scores(spark, d):
     return rounded(spark.createDataFrame(out, "fold string, rmse double"), 5)
 
 
-# ---- fitted models, checked by rows -----------------------------------------
+# ---- fitted models, on tables whose answer SQL knows --------------------------
+#
+# All models see the whole part table, split by its key. One threshold of p_size
+# decides the class and the amount, so a model that learns it makes no error, and
+# the linear ones leave what their penalty takes.
 
-def _run(spark, d, task: str, label: str) -> TabularWorkflow:
-    """Order lines with part attributes, split and prepared for one target."""
-    df = (table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_X3, "l_returnflag", "p_brand", "p_type",
-                  F.expr(label).alias("target")))
-    flow = TabularWorkflow(spark)
-    flow.load(df)
-    flow.select_target("target", features=[*_X3, "l_returnflag", "p_brand", "p_type"])
+_SIDE = "p_size > 25"
+_CLASS_TABLE = ["p_partkey", f"CASE WHEN {_SIDE} THEN p_size + 100 ELSE p_size END AS wide", "p_retailprice",
+                f"CASE WHEN {_SIDE} THEN 1 ELSE 0 END AS target"]
+_AMOUNT_TABLE = ["p_partkey", f"CASE WHEN {_SIDE} THEN 1 ELSE 0 END AS side", f"CASE WHEN {_SIDE} THEN 120.0 ELSE 20.0 END AS target"]
+_CLASS_SQL = f"class_rows AS (SELECT {', '.join(_CLASS_TABLE)} FROM part), " + _split_cte("class_rows", "p_partkey", "target")
+_AMOUNT_SQL = f"amount_rows AS (SELECT {', '.join(_AMOUNT_TABLE)} FROM part), " + _split_cte("amount_rows", "p_partkey", None)
+
+
+def _flow(spark, d, exprs: list[str], features: list[str], task: str, config: EngineConfig = EngineConfig(),
+          name: str = "part", key: str = "p_partkey") -> TabularWorkflow:
+    flow = TabularWorkflow(spark, config)
+    flow.load(derived(spark, d, name, exprs))
+    flow.select_target("target", key, features)
     flow.detect(task)
     flow.prepare()
     return flow
 
 
-def _fit_one(name: str, task: str, label: str, params: dict | None = None):
+def _class_flow(spark, d) -> TabularWorkflow:
+    return _flow(spark, d, _CLASS_TABLE, ["wide", "p_retailprice"], "classification")
+
+
+def _amount_flow(spark, d) -> TabularWorkflow:
+    return _flow(spark, d, _AMOUNT_TABLE, ["side"], "regression")
+
+
+def _classified(name: str):
+    """Confusion counts of the test rows; default settings."""
     def run(spark, d):
-        flow = _run(spark, d, task, label)
-        flow.train_models([name], run_cv=False, params={name: params} if params else None)
-        result = flow.evaluate()
+        flow = _class_flow(spark, d)
+        flow.train_models([name], run_cv=False)
+        cells = m.confusion(flow.trained[name].model.transform(flow.test), tr.LABEL, "prediction")
+        out = cells.select(F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"), "n")
+        out = spark.createDataFrame(out.collect(), out.schema)  # classes squared rows at most
         flow.close()
-        return result
+        return out
     return run
 
 
-for _key, _name, _label, _params in [
-    ("clf_logistic", "Logistic Regression", _CLASS2, None),
-    ("clf_random_forest", "Random Forest", _CLASS2, {"n_estimators": 20}),
-    ("clf_gbt", "Gradient Boosting", _CLASS2, {"n_estimators": 10}),
-    ("clf_gbt_multiclass", "Gradient Boosting", _CLASS3, {"n_estimators": 5}),
-    ("clf_decision_tree", "Decision Tree", _CLASS3, None),
-    ("clf_linear_svm", "SVM", _CLASS2, None),
-    ("clf_adaboost", "AdaBoost", _CLASS2, {"n_estimators": 5}),
-    ("clf_knn", "K-Nearest Neighbors", _CLASS2, None),
-]:
-    query(_key)(_fit_one(_name, "classification", _label, _params))
-for _key, _name, _params in [
-    ("reg_decision_tree", "Decision Tree", None), ("reg_random_forest", "Random Forest", {"n_estimators": 10, "max_depth": 10}),
-    ("reg_gbt", "Gradient Boosting", {"n_estimators": 10}), ("reg_adaboost", "AdaBoost", {"n_estimators": 5}),
-    ("reg_knn", "K-Nearest Neighbors", None),
+for _key, _name in [
+    ("clf_random_forest", "Random Forest"), ("clf_gbt", "Gradient Boosting"), ("clf_decision_tree", "Decision Tree"),
+    ("clf_linear_svm", "SVM"), ("clf_adaboost", "AdaBoost"),
 ]:
-    query(_key)(_fit_one(_name, "regression", _SIGNAL, _params))
+    query(_key, f"""WITH {_CLASS_SQL}
+SELECT CAST(target AS BIGINT) AS label, CAST(target AS BIGINT) AS prediction, count(*) AS n FROM parts WHERE split = 'test' GROUP BY 1, 2""")(
+        _classified(_name))
 
 
-@query("feature_importance")
-def feature_importance(spark, d):
-    """Importances of a tree beside the absolute coefficients of a linear model."""
-    flow = _run(spark, d, "classification", _CLASS2)
-    flow.train_models(["Decision Tree", "Logistic Regression"], run_cv=False)
-    rows = [(n, f, v) for n, res in flow.trained.items() for f, v in res.importance]
-    flow.close()
-    return spark.createDataFrame(rows, "model string, feature string, importance double")
+def _estimated(name: str):
+    """Amounts and estimates of the test rows; default settings."""
+    def run(spark, d):
+        flow = _amount_flow(spark, d)
+        flow.train_models([name], run_cv=False)
+        scored = flow.trained[name].model.transform(flow.test)
+        out = scored.groupBy(F.col("label").alias("amount"), (F.round("prediction", 3) + 0.0).alias("estimate")).agg(F.count(F.lit(1)).alias("n"))
+        out = spark.createDataFrame(out.collect(), out.schema)  # two amounts
+        flow.close()
+        return out
+    return run
 
 
-_SMALL = {"Random Forest": {"n_estimators": 5}, "Gradient Boosting": {"n_estimators": 5}, "AdaBoost": {"n_estimators": 3}}
-_FORESTS = {**_SMALL, "Random Forest": {"n_estimators": 5, "max_depth": 8}}
+for _key, _name in [("reg_decision_tree", "Decision Tree"), ("reg_random_forest", "Random Forest"),
+                    ("reg_gbt", "Gradient Boosting"), ("reg_adaboost", "AdaBoost")]:
+    query(_key, f"""WITH {_AMOUNT_SQL}
+SELECT CAST(target AS DOUBLE) AS amount, CAST(target AS DOUBLE) AS estimate, count(*) AS n FROM parts WHERE split = 'test' GROUP BY 1, 2""")(
+        _estimated(_name))
 
 
-def _documents(spark, d) -> DataFrame:
-    return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(
-        "doc_id", "n_chars", "lang", "source", "toxic", "quality")
+# three classes by thresholds, one-against-the-rest boosting
+_CLASS3_TABLE = ["p_partkey", "p_size", "p_retailprice", "CASE WHEN p_size <= 17 THEN 0 WHEN p_size <= 34 THEN 1 ELSE 2 END AS target"]
 
 
-def _document_flow(spark, d, config=EngineConfig(cv_folds=3)) -> TabularWorkflow:
-    flow = TabularWorkflow(spark, config)
-    flow.load(_documents(spark, d))
-    flow.select_target("quality", "doc_id", ["n_chars", "lang", "source", "toxic"])
-    flow.detect()
-    flow.prepare()
-    return flow
+@query("clf_gbt_multiclass", f"""WITH rows3 AS (SELECT {', '.join(_CLASS3_TABLE)} FROM part), {_split_cte('rows3', 'p_partkey', 'target')}
+SELECT CAST(target AS BIGINT) AS label, CAST(target AS BIGINT) AS prediction, count(*) AS n FROM parts WHERE split = 'test' GROUP BY 1, 2""")
+def clf_gbt_multiclass(spark, d):
+    flow = _flow(spark, d, _CLASS3_TABLE, ["p_size", "p_retailprice"], "classification")
+    flow.train_models(["Gradient Boosting"], run_cv=False, params={"Gradient Boosting": {"n_estimators": 20}})
+    scored = flow.trained["Gradient Boosting"].model.transform(flow.test)
+    out = m.confusion(scored, tr.LABEL, "prediction").select(
+        F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"), "n")
+    out = spark.createDataFrame(out.collect(), out.schema)
+    flow.close()
+    return out
 
 
-def _part_flow(spark, d, config=EngineConfig(cv_folds=3)) -> TabularWorkflow:
-    flow = TabularWorkflow(spark, config)
-    flow.load(table(spark, d, "part"))
-    flow.select_target("p_retailprice", "p_partkey", ["p_partkey", "p_size", "p_brand", "p_type", "p_name"])
-    flow.detect("regression")
-    flow.prepare()
-    return flow
+@query("clf_logistic", f"""
+WITH l AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS x, CASE WHEN (p_partkey * 7919) % 10 < CASE WHEN p_size > 25 THEN 7 ELSE 3 END THEN 1 ELSE 0 END AS target FROM part),
+{_split_cte('l', 'p_partkey', 'target')},
+t AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, ln(avg(target) FILTER (x = 1) / (1 - avg(target) FILTER (x = 1))) AS l1,
+             ln(avg(target) FILTER (x = 0) / (1 - avg(target) FILTER (x = 0))) AS l0 FROM parts WHERE split = 'train')
+SELECT 'x' AS feature, {r('(l1 - l0) * sx', 'value', 2)} FROM t UNION ALL SELECT '(intercept)', {r('l0 + (l1 - l0) * mx', 'value', 2)} FROM t""")
+def clf_logistic(spark, d):
+    """One 0/1 feature and next to no penalty: the coefficient is the log odds ratio."""
+    flow = _flow(spark, d, ["p_partkey", "CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS x",
+                            "CASE WHEN (p_partkey * 7919) % 10 < CASE WHEN p_size > 25 THEN 7 ELSE 3 END THEN 1 ELSE 0 END AS target"], ["x"], "classification")
+    flow.train_models(["Logistic Regression"], run_cv=False, params={"Logistic Regression": {"C": 1e9}})
+    model = flow.trained["Logistic Regression"].model
+    flow.close()
+    return rounded(_coefficients(model, ["x"], flow.data), 2)
 
 
-@query("train_all_clf")
-def train_all_clf(spark, d):
-    flow = _document_flow(spark, d)
-    out = flow.train_models(["all"], params=_SMALL)
+_NEAR_TABLE = ["p_partkey", "sqrt(CAST(p_partkey AS DOUBLE)) AS x", "CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS target"]
+
+
+def _nearest_sql(target: str | None) -> str:
+    return f"""near_rows AS (SELECT {', '.join(_NEAR_TABLE)} FROM part), {_split_cte('near_rows', 'p_partkey', target)},
+near AS (SELECT a.p_partkey, any_value(a.target) AS target, list(b.target ORDER BY abs(a.x - b.x))[1:5] AS found
+         FROM parts a, parts b WHERE a.split = 'test' AND b.split = 'train' GROUP BY 1)"""
+
+
+@query("clf_knn", f"""WITH {_nearest_sql('target')}
+SELECT CAST(target AS BIGINT) AS label, CAST(CASE WHEN list_sum(found) > 2 THEN 1 ELSE 0 END AS BIGINT) AS prediction, count(*) AS n FROM near GROUP BY 1, 2""")
+def clf_knn(spark, d):
+    flow = _flow(spark, d, _NEAR_TABLE, ["x"], "classification")
+    flow.train_models(["K-Nearest Neighbors"], run_cv=False)
+    out = m.confusion(flow.trained["K-Nearest Neighbors"].model.transform(flow.test), tr.LABEL, "prediction").select(
+        F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"), "n")
+    out = spark.createDataFrame(out.collect(), out.schema)
     flow.close()
     return out
 
 
-@query("train_all_reg")
-def train_all_reg(spark, d):
-    flow = _part_flow(spark, d)
-    out = flow.train_models(["all"], params=_FORESTS)
+@query("reg_knn", f"""WITH {_nearest_sql(None)}
+SELECT CAST(target AS DOUBLE) AS amount, {r('list_sum(found) / 5.0', 'estimate')}, count(*) AS n FROM near GROUP BY 1, 2""")
+def reg_knn(spark, d):
+    flow = _flow(spark, d, _NEAR_TABLE, ["x"], "regression")
+    flow.train_models(["K-Nearest Neighbors"], run_cv=False)
+    scored = flow.trained["K-Nearest Neighbors"].model.transform(flow.test)
+    out = scored.groupBy(F.col("label").alias("amount"), (F.round("prediction", 6) + 0.0).alias("estimate")).agg(F.count(F.lit(1)).alias("n"))
+    out = spark.createDataFrame(out.collect(), out.schema)
     flow.close()
     return out
 
 
-@query("tune_ridge")
-def tune_ridge(spark, d):
-    flow = _part_flow(spark, d)
-    out = flow.tune_models(["Ridge", "Linear Regression"], n_iter=4)
+@query("feature_importance", f"""
+WITH {_AMOUNT_SQL}
+SELECT 'Decision Tree' AS model, 'side' AS feature, 1.0::DOUBLE AS importance
+UNION ALL SELECT 'Linear Regression', 'side', {r("100 * stddev_pop(side)", 'x', 4)} FROM parts WHERE split = 'train'""")
+def feature_importance(spark, d):
+    """Importance of a tree's only feature beside the coefficient of the scaled one."""
+    flow = _amount_flow(spark, d)
+    flow.train_models(["Decision Tree", "Linear Regression"], run_cv=False)
+    rows = [(n, f, v) for n, res in flow.trained.items() for f, v in res.importance]
     flow.close()
-    return out
+    return rounded(spark.createDataFrame(rows, "model string, feature string, importance double"), 4)
 
 
-@query("tune_tree")
-def tune_tree(spark, d):
-    flow = _document_flow(spark, d)
-    out = flow.tune_models(["Decision Tree"], n_iter=3)
+# ---- what a penalised line leaves of an exact linear relation -------------------
+#
+# y = a + c z for the scaled feature z. A fit on rows with mean mz and variance vz
+# has slope b; its error at z is (c - b) (z - mz).
+
+def _kept(penalty: str, v: str = "vz", c: str = "c", n: str = "n") -> str:
+    """Slope of Ridge, Lasso or Elastic Net for variance v of the feature."""
+    kind, alpha = penalty.split(":")
+    if kind == "ridge":
+        return f"({c} * {v} / ({v} + {alpha} / {n}))"
+    ratio = {"lasso": 1.0, "half": 0.5}[kind]
+    return f"(greatest({c} * {v} - {alpha} * {ratio}, 0) / ({v} + {alpha} * {1 - ratio}))"
+
+
+_PENALTY = {"Linear Regression": "ridge:0.0", "Ridge": "ridge:1.0", "Lasso": "lasso:1.0", "Elastic Net": "half:1.0"}
+
+# rows of the workflow's split with the folds of its train rows, and the scaled feature
+_LINE_SQL = f"""{_AMOUNT_SQL},
+tr AS (SELECT avg(side) AS ms, stddev_pop(side) AS ss, count(*) AS n FROM parts WHERE split = 'train'),
+z AS (SELECT parts.*, (side - ms) / ss AS z, 100 * ss AS c, tr.n AS trained FROM parts, tr),
+held AS (SELECT *, ntile(5) OVER (ORDER BY rn) - 1 AS fold FROM z WHERE split = 'train')"""
+
+
+def _errors_sql(split: str, model: str) -> str:
+    b = _kept(_PENALTY[model], "1.0", "c", "trained")
+    return f"""SELECT '{model}' AS model, sqrt(avg(((c - {b}) * z) ** 2)) AS rmse, avg(abs((c - {b}) * z)) AS mae, avg(((c - {b}) * z) ** 2) AS mse,
+  1 - avg(((c - {b}) * z) ** 2) / var_pop(target) AS r2, 1 - var_pop((c - {b}) * z) / var_pop(target) AS ev FROM z WHERE split = '{split}'"""
+
+
+def _all_errors(split: str, models) -> str:
+    return " UNION ALL ".join(_errors_sql(split, x) for x in models)
+
+
+def _fold_errors(penalty: str) -> str:
+    """(fold, rmse, r2) of a fit on the other folds' train rows."""
+    return f"""SELECT f.fold, sqrt(avg(((h.c - {_kept(penalty, 'f.vz', 'h.c', 'f.n')}) * (h.z - f.mz)) ** 2)) AS rmse,
+  1 - avg(((h.c - {_kept(penalty, 'f.vz', 'h.c', 'f.n')}) * (h.z - f.mz)) ** 2) / var_pop(h.target) AS r2
+  FROM held h JOIN (SELECT i.fold, avg(z) AS mz, var_pop(z) AS vz, count(*) AS n FROM held, (SELECT DISTINCT fold FROM held) i
+                    WHERE held.fold <> i.fold GROUP BY i.fold) f ON h.fold = f.fold GROUP BY f.fold"""
+
+
+@query("evaluate_test_reg", f"""WITH {_LINE_SQL}, e AS ({_all_errors('test', _PENALTY)})
+SELECT model, {r('mse', 'test_mse', 3)}, {r('rmse', 'test_rmse', 3)}, {r('mae', 'test_mae', 3)}, {r('r2', 'test_r2', 4)},
+       {r('ev', 'test_explained_variance', 4)} FROM e""")
+def evaluate_test_reg(spark, d):
+    flow = _amount_flow(spark, d)
+    flow.train_models(list(_PENALTY), run_cv=False)
+    out = flow.evaluate()
     flow.close()
-    return out
+    return rounded(out, {"test_mse": 3, "test_rmse": 3, "test_mae": 3, "test_r2": 4, "test_explained_variance": 4})
 
 
-@query("evaluate_test_clf")
+@query("evaluate_test_clf", f"""WITH {_CLASS_SQL}
+SELECT model, 1.0::DOUBLE AS test_accuracy, 1.0::DOUBLE AS test_precision, 1.0::DOUBLE AS test_recall, 1.0::DOUBLE AS test_f1,
+       CASE WHEN count(DISTINCT target) = 2 THEN 1.0::DOUBLE END AS test_roc_auc
+FROM parts, (VALUES ('Logistic Regression'), ('Decision Tree'), ('Naive Bayes')) AS v(model) WHERE split = 'test' GROUP BY model""")
 def evaluate_test_clf(spark, d):
-    flow = _run(spark, d, "classification", _CLASS3)
+    flow = _class_flow(spark, d)
     flow.train_models(["Logistic Regression", "Decision Tree", "Naive Bayes"], run_cv=False)
     out = flow.evaluate()
     flow.close()
-    return out
+    return rounded(out)
 
 
-@query("evaluate_test_reg")
-def evaluate_test_reg(spark, d):
-    flow = _run(spark, d, "regression", _SIGNAL)
-    flow.train_models(["Linear Regression", "Ridge", "Decision Tree"], run_cv=False)
-    out = flow.evaluate()
+_EXACT = ("Decision Tree", "Random Forest", "AdaBoost", "K-Nearest Neighbors")
+
+
+@query("train_all_reg", f"""WITH {_LINE_SQL}, t AS ({_all_errors('train', _PENALTY)}), v AS ({_all_errors('val', _PENALTY)}),
+cv AS ({" UNION ALL ".join(f"SELECT '{x}' AS model, * FROM ({_fold_errors(_PENALTY[x])})" for x in _PENALTY)}),
+k AS (SELECT model, avg(rmse) AS m, stddev_pop(rmse) AS s FROM cv GROUP BY model)
+SELECT model, {r('t.r2', 'train_r2', 4)}, {r('v.r2', 'val_r2', 4)}, {r('v.rmse', 'val_rmse', 3)}, {r('v.mae', 'val_mae', 3)},
+       {r('k.m', 'cv_mean_rmse', 3)}, {r('k.s', 'cv_std', 3)} FROM t JOIN v USING (model) JOIN k USING (model)
+UNION ALL SELECT model, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0 FROM (VALUES {", ".join(f"('{x}')" for x in _EXACT)}) AS x(model)""")
+def train_all_reg(spark, d):
+    """Default settings and five folds of all models but boosting, whose hundred rounds reg_gbt fits."""
+    flow = _amount_flow(spark, d)
+    out = flow.train_models([*_PENALTY, *_EXACT]).drop("train_time_s")
     flow.close()
-    return out
+    return rounded(out, {"train_r2": 4, "val_r2": 4, "val_rmse": 3, "val_mae": 3, "cv_mean_rmse": 3, "cv_std": 3})
+
+
+_CLASSIFIERS = ("Logistic Regression", "Random Forest", "Decision Tree", "K-Nearest Neighbors", "SVM", "Naive Bayes", "AdaBoost")
+
+
+@query("train_all_clf", f"""WITH {_CLASS_SQL}
+SELECT model, 1.0::DOUBLE AS train_accuracy, 1.0::DOUBLE AS val_accuracy, 1.0::DOUBLE AS val_precision, 1.0::DOUBLE AS val_recall,
+       1.0::DOUBLE AS val_f1, CASE WHEN count(DISTINCT target) = 2 THEN 1.0::DOUBLE END AS val_roc_auc, 1.0::DOUBLE AS cv_mean,
+       CAST(NULL AS DOUBLE) AS cv_std FROM parts, (VALUES {", ".join(f"('{x}')" for x in _CLASSIFIERS)}) AS v(model)
+WHERE split = 'val' GROUP BY model""")
+def train_all_clf(spark, d):
+    """Default settings and five folds of all models but boosting, whose hundred rounds clf_gbt fits."""
+    flow = _class_flow(spark, d)
+    out = flow.train_models(list(_CLASSIFIERS)).drop("train_time_s")
+    flow.close()
+    return rounded(out)
 
 
-@query("run_full_clf")
+_ALPHAS = ("0.001", "0.01", "0.1", "1.0", "10.0", "100.0")
+
+
+@query("tune_ridge", f"""WITH {_LINE_SQL},
+cv AS ({" UNION ALL ".join(f"SELECT {x} AS alpha, avg(r2) AS score FROM ({_fold_errors('ridge:' + x)})" for x in _ALPHAS)}),
+best AS (SELECT arg_max(alpha, score) AS alpha, max(score) AS score FROM cv),
+v AS (SELECT avg(((c - c / (1 + alpha / trained)) * z) ** 2) AS mse, avg(abs((c - c / (1 + alpha / trained)) * z)) AS mae, var_pop(target) AS vy
+      FROM z, best WHERE split = 'val')
+SELECT 'Ridge' AS model, {r('score', 'best_cv_score', 5)}, {r('1 - mse / vy', 'val_score', 5)}, CAST({len(_ALPHAS)} AS BIGINT) AS iterations,
+       {r('sqrt(mse)', 'val_rmse', 3)}, {r('mae', 'val_mae', 3)} FROM best, v""")
+def tune_ridge(spark, d):
+    """Twenty candidates are asked for; the grid has six."""
+    flow = _amount_flow(spark, d)
+    out = flow.tune_models(["Ridge"]).drop("tuning_time_s")
+    flow.close()
+    return rounded(out, {"best_cv_score": 5, "val_score": 5, "val_rmse": 3, "val_mae": 3})
+
+
+@query("tune_tree", f"""WITH {_CLASS_SQL}
+SELECT 'Decision Tree' AS model, 1.0::DOUBLE AS best_cv_score, avg(CASE WHEN target = target THEN 1.0 END)::DOUBLE AS val_score,
+       CAST(20 AS BIGINT) AS iterations, 1.0::DOUBLE AS val_precision, 1.0::DOUBLE AS val_recall, 1.0::DOUBLE AS val_f1
+FROM parts WHERE split = 'val'""")
+def tune_tree(spark, d):
+    flow = _class_flow(spark, d)
+    out = flow.tune_models(["Decision Tree"]).drop("tuning_time_s")
+    flow.close()
+    return rounded(out)
+
+
+@query("run_full_clf", f"""WITH {_CLASS_SQL}
+SELECT 'Naive Bayes' AS model, 1.0::DOUBLE AS test_accuracy, 1.0::DOUBLE AS test_precision, 1.0::DOUBLE AS test_recall, 1.0::DOUBLE AS test_f1,
+       CASE WHEN count(DISTINCT target) = 2 THEN 1.0::DOUBLE END AS test_roc_auc FROM parts WHERE split = 'test'
+UNION ALL SELECT 'Decision Tree', 1.0, 1.0, 1.0, 1.0, CASE WHEN count(DISTINCT target) = 2 THEN 1.0::DOUBLE END FROM parts WHERE split = 'test'""")
 def run_full_clf(spark, d):
-    """Load to saved package on labelled documents, tuning included."""
-    flow = TabularWorkflow(spark, EngineConfig(cv_folds=3))
-    out = flow.run(_documents(spark, d), "quality", ["Logistic Regression", "Decision Tree"], key="doc_id",
-                   features=["n_chars", "lang", "source", "toxic"], n_iter=2, save_to=scratch_path(spark, "package"))
+    """Load to saved package, five folds and the whole search included."""
+    flow = TabularWorkflow(spark)
+    out = flow.run(derived(spark, d, "part", _CLASS_TABLE), "target", ["Naive Bayes", "Decision Tree"], key="p_partkey",
+                   features=["wide", "p_retailprice"], task="classification", save_to=scratch_path(spark, "package"))
     flow.close()
-    return out
+    return rounded(out)
 
 
-@query("run_full_reg")
+@query("run_full_reg", f"""WITH {_LINE_SQL}, e AS ({_all_errors('test', ['Linear Regression'])})
+SELECT model, {r('mse', 'test_mse', 3)}, {r('rmse', 'test_rmse', 3)}, {r('mae', 'test_mae', 3)}, {r('r2', 'test_r2', 4)},
+       {r('ev', 'test_explained_variance', 4)} FROM e
+UNION ALL SELECT 'Decision Tree', 0.0, 0.0, 0.0, 1.0, 1.0""")
 def run_full_reg(spark, d):
-    flow = TabularWorkflow(spark, EngineConfig(cv_folds=3))
-    out = flow.run(table(spark, d, "part"), "p_retailprice", ["Linear Regression", "Ridge", "Decision Tree"], tune=False,
-                   key="p_partkey", save_to=scratch_path(spark, "package"))
+    """Load to saved package, five folds and the whole search included."""
+    flow = TabularWorkflow(spark)
+    out = flow.run(derived(spark, d, "part", _AMOUNT_TABLE), "target", ["Linear Regression", "Decision Tree"], key="p_partkey",
+                   features=["side"], task="regression", save_to=scratch_path(spark, "package"))
     flow.close()
-    return out
+    return rounded(out, {"test_mse": 3, "test_rmse": 3, "test_mae": 3, "test_r2": 4, "test_explained_variance": 4})
+
+
+# ---- names that the engine uses itself ------------------------------------------
+
+_RESERVED = {"label": "l_quantity", "features": "l_discount", "prediction": "l_extendedprice", "split": "l_tax"}
+
+
+@query("score_reserved_names", f"""
+SELECT l_orderkey, {', '.join(f'{c} AS {n}' for n, c in _RESERVED.items())}, l_linenumber AS "Probability_Class_0",
+       CASE WHEN l_quantity > 25 THEN '1' ELSE '0' END AS "Prediction_" FROM lineitem""")
+def score_reserved_names(spark, d):
+    """Features called like internal columns train and score, and come back unchanged."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", *[F.col(c).alias(n) for n, c in _RESERVED.items()],
+                                              F.col("l_linenumber").cast("long").alias("Probability_Class_0"))
+    df = rows.withColumn("target", (F.col("label") > 25).cast("int"))
+    flow = TabularWorkflow(spark)
+    flow.load(df)
+    flow.select_target("target", features=[*_RESERVED, "Probability_Class_0"])
+    flow.detect("classification")
+    flow.prepare()
+    flow.train_models(["Decision Tree"], run_cv=False)
+    out = score(flow.package(), rows, probabilities=False)
+    flow.close()
+    return rounded(out)
