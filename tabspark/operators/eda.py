@@ -279,7 +279,12 @@ def target_statistics(df: DataFrame, target: str, config: EngineConfig = EngineC
 def target_correlation(df: DataFrame, columns: list[str], target: str, top: int = 10) -> DataFrame:
     """(column, abs_r): features most correlated with a numeric target."""
     values = df.select(_number(df, target).alias("y"), *[_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    row = values.agg(*[F.abs(F.corr(f"v{i}", "y")).alias(f"r{i}") for i in range(len(columns))])
+    def size(x: str) -> Column:
+        """Null where one side is constant (F.corr divides by zero there)."""
+        both = [F.when(F.col(b).isNotNull(), F.col(a)) for a, b in ((x, "y"), ("y", x))]
+        return F.abs(F.try_divide(F.covar_pop(x, "y"), F.stddev_pop(both[0]) * F.stddev_pop(both[1])))
+
+    row = values.agg(*[size(f"v{i}").alias(f"r{i}") for i in range(len(columns))])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("abs_r")) for i, c in enumerate(columns)])
     return (row.select(F.explode(rows).alias("p")).select("p.*").filter(F.col("abs_r").isNotNull())
             .orderBy(F.round("abs_r", 10).desc(), "column").limit(top))

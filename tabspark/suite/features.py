@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabspark.config import EngineConfig
 from tabspark.operators import encode as e, preprocess as p, split as sp
 from tabspark.suite.registry import LINES_SQL, PARTS_SQL, lines, parts, query, r, rounded, table
 
@@ -70,17 +71,28 @@ def freq_fit(spark, d):
     return rounded(e.frequencies(line_parts(spark, d), ["p_brand", "p_name"]))
 
 
-@query("freq_encode", f"""
+_FREQ_SQL = f"""
 WITH t AS ({_LINE_PARTS_SQL}),
 b AS (SELECT p_brand, count(*) / (SELECT count(p_brand) FROM t) AS f FROM t WHERE p_brand IS NOT NULL GROUP BY 1),
 n AS (SELECT p_name, count(*) / (SELECT count(p_name) FROM t) AS f FROM t WHERE p_name IS NOT NULL GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, {r("coalesce(b.f, 0)", "p_brand")}, {r("coalesce(n.f, 0)", "p_name")}
-FROM t LEFT JOIN b ON t.p_brand = b.p_brand LEFT JOIN n ON t.p_name = n.p_name""")
+FROM t LEFT JOIN b ON t.p_brand = b.p_brand LEFT JOIN n ON t.p_name = n.p_name"""
+
+
+@query("freq_encode", _FREQ_SQL)
 def freq_encode(spark, d):
     df = line_parts(spark, d).select(*_KEYS, "p_brand", "p_name")
     return rounded(e.FrequencyEncoder(inputCols=["p_brand", "p_name"]).fit(df).transform(df))
 
 
+@query("freq_encode_shuffled", _FREQ_SQL)
+def freq_encode_shuffled(spark, d):
+    """The same through the joins for categories too many to broadcast."""
+    df = line_parts(spark, d).select(*_KEYS, "p_brand", "p_name")
+    model = e.FrequencyEncoder(inputCols=["p_brand", "p_name"]).fit(df)
+    return rounded(model._set(broadcastRows=0).transform(df))
+
+
 @query("impute_median", f"""
 WITH t AS ({LINES_SQL})
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice,
@@ -204,6 +216,13 @@ def stratify_decision(spark, d):
         for df, c in ((o, "o_orderstatus"), (o, "o_custkey"), (li, "l_quantity"))])
 
 
+@query("split_stratified_counted", f"WITH {_split_cte('orders', 'o_orderkey', 'o_orderstatus')} SELECT o_orderkey, o_orderstatus, split FROM parts")
+def split_stratified_counted(spark, d):
+    """The same with every quota searched down to single positions."""
+    return sp.split(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus",
+                    config=EngineConfig(rank_bucket_rows=1))
+
+
 @query("split_info_clf", f"""
 WITH {_split_cte('orders', 'o_orderkey', 'o_orderstatus')}
 SELECT split, o_orderstatus, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY split) AS BIGINT) AS split_n,

@@ -389,8 +389,10 @@ def target_correlation(spark, d):
 
 @query("eda_report")
 def eda_report(spark, d):
-    """Row counts of every exploratory table of one classification target."""
-    df = lines(spark, d).drop("l_shipdate", "one").filter("l_returnflag IS NOT NULL")
-    tables = eda.profile(df, "l_returnflag", "classification")
-    return reduce(DataFrame.unionByName, [
-        t.agg(F.lit(n).alias("section"), F.count(F.lit(1)).alias("n_rows")) for n, t in tables.items()])
+    """Row counts of every exploratory table of whole order lines, for a target of either kind."""
+    df = lines(spark, d)
+    parts = []
+    for target, task in (("l_returnflag", "classification"), ("l_extendedprice", "regression")):
+        for name, found in eda.profile(df, target, task).items():
+            parts.append(found.agg(F.lit(task).alias("task"), F.lit(name).alias("section"), F.count(F.lit(1)).alias("n_rows")))
+    return reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabspark.operators import quality as q, select as sel, task as t
 from tabspark.suite.registry import (
+    LINES,
     LINES_SQL, ORDERS_SQL, PARTS_SQL, lines, orders, parts, query, r, rounded, table,
 )
 
@@ -124,7 +125,8 @@ def table_shape(spark, d):
     return q.table_shape(table(spark, d, "lineitem"))
 
 
-_NULL_COLS = ["l_orderkey", "l_quantity", "l_returnflag", "l_extendedprice", "one"]
+_LINE_NAMES = [e.split(" AS ")[-1] for e in LINES]
+_NULL_COLS = _LINE_NAMES
 _NULL_ROWS = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) - count({c}) AS n_missing, (count(*) - count({c})) * 100.0 / count(*) AS pct FROM lines"""
     for c in _NULL_COLS)
@@ -163,17 +165,19 @@ def missing_severity(spark, d):
 SELECT 'bigint' AS dtype, CAST(3 AS BIGINT) AS n_columns, count(l_orderkey) + count(l_partkey) + count(l_suppkey) AS n_values FROM lineitem
 UNION ALL SELECT 'int', 1, count(l_linenumber) FROM lineitem
 UNION ALL SELECT 'double', 4, count(l_quantity) + count(l_extendedprice) + count(l_discount) + count(l_tax) FROM lineitem
-UNION ALL SELECT 'string', 2, count(l_returnflag) + count(l_linestatus) FROM lineitem""")
+UNION ALL SELECT 'string', 2, count(l_returnflag) + count(l_linestatus) FROM lineitem
+UNION ALL SELECT 'timestamp_ntz', 1, count(l_shipdate) FROM lineitem""")
 def dtype_summary(spark, d):
-    return q.dtype_summary(table(spark, d, "lineitem").drop("l_shipdate"))
+    return q.dtype_summary(table(spark, d, "lineitem"))
 
 
 @query("duplicate_rows", f"""
-SELECT CAST(sum(c - 1) AS BIGINT) AS duplicate_rows FROM (
-  SELECT count(*) AS c FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, discounted FROM ({LINES_SQL}))
-  GROUP BY l_orderkey, l_linenumber, l_quantity, l_returnflag, discounted)""")
+WITH t AS ({LINES_SQL}), u AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE l_orderkey % 10 = 0)
+SELECT CAST(sum(c - 1) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS c FROM u GROUP BY {", ".join(_LINE_NAMES)})""")
 def duplicate_rows(spark, d):
-    return q.duplicate_rows(lines(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "discounted"))
+    """Whole order lines, a tenth of the orders twice."""
+    df = lines(spark, d)
+    return q.duplicate_rows(df.unionByName(df.where("l_orderkey % 10 = 0")))
 
 
 @query("constant_columns", f"""
@@ -190,15 +194,14 @@ def _distinct_rows(cols: list[str], src: str) -> str:
 
 
 @query("high_cardinality_columns", f"""
-SELECT "column", n_unique FROM ({_distinct_rows(["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
-                                                "l_returnflag", "l_discount"], "lineitem")}) WHERE n_unique > 0.9 * n_rows
+SELECT "column", n_unique FROM ({_distinct_rows([
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate"], "lineitem")}) WHERE n_unique > 0.9 * n_rows
 UNION ALL
-SELECT "column", n_unique FROM ({_distinct_rows(["doc_id", "text", "lang", "n_chars"], "documents")}) WHERE n_unique > 0.9 * n_rows""")
+SELECT "column", n_unique FROM ({_distinct_rows(["doc_id", "text", "lang", "source", "n_chars"], "documents")}) WHERE n_unique > 0.9 * n_rows""")
 def high_cardinality_columns(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
-                                            "l_returnflag", "l_discount")
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
-    return q.high_cardinality_columns(li).unionByName(q.high_cardinality_columns(docs))
+    return q.high_cardinality_columns(table(spark, d, "lineitem")).unionByName(
+        q.high_cardinality_columns(table(spark, d, "documents")))
 
 
 @query("target_preview", f"""
@@ -295,3 +298,22 @@ def detect_details(spark, d):
 SELECT CAST(o_orderstatus AS STRING) AS sample_value FROM orders WHERE o_orderstatus IS NOT NULL ORDER BY o_orderkey LIMIT 10""")
 def sample_values(spark, d):
     return t.sample_values(table(spark, d, "orders"), "o_orderstatus", 10, ["o_orderkey"])
+
+
+@query("validation_report_empty", """
+WITH o AS (SELECT * FROM orders WHERE o_orderkey < 0), n AS (SELECT count(*) AS n FROM o)
+SELECT 'table' AS "check", 'fail' AS status, 'DataFrame is empty (no data)' AS message, CAST(NULL AS DOUBLE) AS value FROM n
+UNION ALL SELECT 'target', 'fail', 'Target ''o_orderstatus'' is empty', NULL FROM n
+UNION ALL SELECT 'n_rows', 'info', '', n FROM n UNION ALL SELECT 'n_columns', 'info', '', 6
+UNION ALL SELECT 'total_nulls', 'info', '', n FROM n UNION ALL SELECT 'columns_with_nulls', 'info', '', n FROM n
+UNION ALL SELECT 'max_null_ratio', 'info', '', NULL UNION ALL SELECT 'constant_columns', 'info', '', 0
+UNION ALL SELECT 'high_cardinality_columns', 'info', '', 0 UNION ALL SELECT 'duplicate_rows', 'info', '', 0""")
+def validation_report_empty(spark, d):
+    return rounded(q.validation_report(table(spark, d, "orders").where("o_orderkey < 0"), "o_orderstatus"))
+
+
+@query("detect_task_override", f"""WITH {_RULES_SQL}
+SELECT "column", 'regression' AS task, 1.0::DOUBLE AS confidence, false AS needs_review FROM verdict""")
+def detect_task_override(spark, d):
+    """The user's word against every rule."""
+    return rounded(_over_targets(spark, d, lambda df, names: t.detect_task(df, names, "regression")))
