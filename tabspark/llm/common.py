@@ -51,23 +51,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def join_by_count(rows: DataFrame, counts: DataFrame, keys: list[str], total: int, hot: int, spread: list[str]) -> DataFrame:
+def join_by_count(rows: DataFrame, counts: DataFrame, keys: list[str], total: int, hot: int) -> DataFrame:
     """Inner join of ``rows`` with ``counts`` (keys, n, more columns), one row per key, without a hot partition.
 
-    Keys of which one row in ``hot`` has the same are at most ``hot`` many; they
-    are broadcast, and their rows pass by the shuffle join on a hash of the
-    columns ``spread``. ``n`` counts the key's rows, ``total`` all rows.
+    Keys of which one row in ``hot`` has the same are at most ``hot`` many; their
+    rows are joined by broadcast, the others by shuffle. ``n`` counts the key's
+    rows, ``total`` all rows.
     """
-    values = [c for c in counts.columns if c not in keys and c != "n"]
-    often = F.col("n") * hot >= total
-    quick = counts.where(often).select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
-    slow = counts.where(~often).select(*[F.col(k).alias(f"_to_{k}") for k in keys], F.lit(True).alias("_cold"),
-                                       *[F.col(v).alias(f"_cold_{v}") for v in values])
-    marked = rows.join(F.broadcast(quick), keys, "left")
-    for i, k in enumerate(keys):
-        marked = marked.withColumn(f"_to_{k}", F.when(F.col("_hot").isNull(), F.col(k)).otherwise(F.xxhash64(F.lit(i), *spread)))
-    marked = marked.join(slow, [f"_to_{k}" for k in keys], "left").where(F.col("_hot") | F.col("_cold"))
-    return marked.select(*rows.columns, *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values])
+    key = F.xxhash64(*keys)
+    often = [r[0] for r in counts.where(F.col("n") * hot >= total).select(key).collect()] if total > hot else []
+    counts = counts.drop("n")
+    if not often:
+        return rows.join(counts, keys).select(*rows.columns, *[c for c in counts.columns if c not in keys])
+    quick = rows.where(key.isin(often)).join(F.broadcast(counts.where(key.isin(often))), keys)
+    slow = rows.where(~key.isin(often)).join(counts.where(~key.isin(often)), keys)
+    names = [*rows.columns, *[c for c in counts.columns if c not in keys]]
+    return quick.select(*names).union(slow.select(*names))
 
 
 def hashed_sample(df: DataFrame, keys: list[str], total: int, rows: int) -> DataFrame:

@@ -1,10 +1,11 @@
 """N-gram Jaccard join: documents linked by shared shingles, and their components.
 
-Equal sets are one class. A class can be linked only with classes that share one
-of its rarest shingles (as many as may be missing, and one more); shared ones
-join classes to candidate clusters, inside which T-occurrence search (DivideSkip)
-finds the exact links. No list of pairs is ever made: clusters hand on
-components, and large clusters are searched in blocks.
+Equal sets are one class. Linked classes share several of their rarest shingles
+(of as many as may be missing and that several more) and are about equally
+large; classes that share too few with all others have no link, and the shared
+ones join the rest to candidate clusters, inside which T-occurrence search
+(DivideSkip) finds the exact links. No list of pairs is ever made: clusters hand
+on components, and large clusters are searched in blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SAMPLE_TEXTS, FREQUENT = 20_000, 1 << 18
 #: Classes (and shingles) of a cluster that one task searches at a time, and sets shown to every block of a larger one.
 CLUSTER_SETS, CLUSTER_SHINGLES, PIVOTS = 2_000, 2_000_000, 32
 HOT = 1_000
+#: Rare shingles that linked classes share at least (small sets: as many as their overlap allows).
+SHARED = 8
 
 
 def _frequent(texts: DataFrame, size: int, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +51,39 @@ def _rarest(s: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]
     if len(token):
         at = np.minimum(np.searchsorted(token, s), len(token) - 1)
         rank = np.where(token[at] == s, level[at], 0)
-    return s[np.lexsort((s, rank))[:len(s) - least_overlap(len(s), percent) + 1]]
+    least = least_overlap(len(s), percent)
+    return s[np.lexsort((s, rank))[:len(s) - least + min(SHARED, least)]]
+
+
+def _candidate_edges(postings: DataFrame, percent: int, hot: int) -> DataFrame:
+    """(node, low) edges that connect all classes that may be linked. ``postings``: token, node, n (set size).
+
+    Two linked classes share at least min(SHARED, overlap) of these tokens, so a
+    class that shares fewer with the others is dropped, round by round. Sets
+    are linked only if the smaller has ``percent`` of the larger's size, so a
+    token connects sets of one band of sizes, and the next band's only if the
+    nearest sizes allow it.
+    """
+    lists = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    lists = stored(lists.where("low < high").select("token", F.col("n").alias("n"), F.lit(True).alias("live")), "lists")
+    total = lists.agg(F.sum("n")).first()[0] or 0
+    live = stored(join_by_count(postings, lists, ["token"], total, hot).select("token", "node", F.col("n").alias("size")).distinct(), "live")
+    overlap = F.ceil(F.col("size") * percent / 100)
+    need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(overlap * percent / 100) - 1))
+    for _ in range(2):
+        strong = live.groupBy("node").agg(F.count("*").alias("shared"), F.first("size").alias("size")).where(F.col("shared") >= need)
+        live = live.join(strong.select("node"), "node", "left_semi")
+        more = stored(live.groupBy("token").agg(F.count("*").alias("n"), F.lit(True).alias("live")).where("n > 1"), "lists")
+        live = stored(join_by_count(live, more, ["token"], live.count(), hot).select("token", "node", "size"), "live")
+    band = F.floor(F.log(F.col("size")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
+    live = live.withColumn("band", band)
+    groups = stored(live.groupBy("token", "band").agg(
+        F.count("*").alias("n"), F.min("node").alias("low"), F.min("size").alias("least"), F.max("size").alias("most")), "groups")
+    inner = join_by_count(live, groups.where("n > 1").select("token", "band", "n", "low"), ["token", "band"], live.count(), hot)
+    above = groups.select("token", (F.col("band") - 1).alias("band"), F.col("low").alias("upper"), F.col("least").alias("next"))
+    across = groups.join(above, ["token", "band"]).where(F.col("most") * 100 >= F.col("next") * percent)
+    return (inner.select("node", "low").union(across.select(F.col("upper").alias("node"), "low"))
+            .where("node <> low").distinct())
 
 
 def _cluster_links(size: int, percent: int):
@@ -93,17 +128,17 @@ def _large_clusters(members: DataFrame, size: int, percent: int, block: int, hot
     Then those others are searched against all blocks of their own and the
     neighbouring bands; links inside the large component add nothing.
     """
-    band = F.floor(F.log(F.col("n")) / np.log(100 / percent)).cast("long")
+    band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("long")
     members = members.select("root", "node", "data", band.alias("band"))
     total, zero = members.count(), F.lit(0).cast("long")
     blocks = stored(members.groupBy("root", "band").agg(
         F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("long").alias("blocks")), "blocks")
-    members = join_by_count(members, blocks, ["root", "band"], total, hot, ["node"])
+    members = join_by_count(members, blocks, ["root", "band"], total, hot)
     members = stored(members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks"), "members")
     whole = blocks.groupBy("root").agg(F.sum("n").alias("n"), F.sum("n").alias("m"),
                                        F.sort_array(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
     pivots = members.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(max(1, block // PIVOTS))) == 0)
-    pivots = join_by_count(pivots, stored(whole, "clusters"), ["root"], total, hot, ["node"]).where(
+    pivots = join_by_count(pivots, stored(whole, "clusters"), ["root"], total, hot).where(
         F.pmod(F.xxhash64(F.lit(4), "node"), F.ceil(F.col("m") / block).cast("long")) == 0)
     spread = (pivots.withColumn("p", F.explode("bands"))
               .withColumn("c", F.explode(F.sequence(zero, F.col("p.blocks") - 1)))
@@ -118,7 +153,7 @@ def _large_clusters(members: DataFrame, size: int, percent: int, block: int, hot
                       .withColumn("group", F.coalesce("_group", "node")).drop("_node", "_group"), "members")
     main = (labelled.groupBy("root", "group").count().groupBy("root")
             .agg(F.sum("count").alias("n"), F.max_by("group", F.struct("count", "group")).alias("main")))
-    labelled = join_by_count(labelled, stored(main, "main"), ["root"], total, hot, ["node"])
+    labelled = join_by_count(labelled, stored(main, "main"), ["root"], total, hot)
     labelled = labelled.withColumn("must", F.col("group") != F.col("main")).drop("main")
     rest = labelled.where("must")
     asking_blocks = rest.groupBy("root", "band").agg(F.ceil(F.count("*") / block).cast("long").alias("asking"))
@@ -129,10 +164,10 @@ def _large_clusters(members: DataFrame, size: int, percent: int, block: int, hot
                                               F.collect_list(F.struct("near", "blocks")).alias("grid"))
     asked_by = to_ask.groupBy("root", F.col("near").alias("band")).agg(
         F.max("n").alias("n"), F.collect_list(F.struct(F.col("band").alias("far"), "asking")).alias("grid"))
-    asking = (join_by_count(rest, stored(asks, "asks"), ["root", "band"], total, hot, ["node"])
+    asking = (join_by_count(rest, stored(asks, "asks"), ["root", "band"], total, hot)
               .withColumn("r", F.pmod(F.xxhash64(F.lit(5), "node"), "asking")).withColumn("g", F.explode("grid"))
               .withColumn("k", F.explode(F.sequence(zero, F.col("g.blocks") - 1))))
-    asked = (join_by_count(labelled, stored(asked_by, "asked"), ["root", "band"], total, hot, ["node"])
+    asked = (join_by_count(labelled, stored(asked_by, "asked"), ["root", "band"], total, hot)
              .withColumn("g", F.explode("grid")).withColumn("r", F.explode(F.sequence(zero, F.col("g.asking") - 1))))
     asking = asking.select(F.col("root").alias("a"), F.xxhash64("band", "r").alias("b"), F.xxhash64("g.near", "k").alias("c"),
                            "node", "data", "group", "must")
@@ -171,19 +206,16 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int =
 
     def rare(batches):
         for b in batches:
-            found = [s for s in shingle_sets(list(b["data"]), size)]
-            cut = [_rarest(s, percent, frequent.value) for s in found if len(s)]
+            found = [s for s in shingle_sets(list(b["data"]), size) if len(s)]
+            cut = [_rarest(s, percent, frequent.value) for s in found]
             if cut:
-                node = np.repeat([set_digest(s) for s in found if len(s)], [len(c) for c in cut])
-                yield pd.DataFrame({"token": np.concatenate(cut).view(np.int64), "node": node})
+                times = [len(c) for c in cut]
+                yield pd.DataFrame({"token": np.concatenate(cut).view(np.int64), "node": np.repeat([set_digest(s) for s in found], times),
+                                    "n": np.repeat([len(s) for s in found], times)})
 
     keys = stored(texts.mapInPandas(sets, "k1 long, k2 long, n_shingles long, node long").dropDuplicates(["k1", "k2"]), "sets")
-    postings = texts.mapInPandas(rare, "token long, node long")
-    lists = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-    lists = stored(lists.where("low < high").select("token", "n", "low"), "lists")
-    listed = lists.agg(F.sum("n")).first()[0] or 0
-    edges = (join_by_count(postings, lists, ["token"], listed, hot, ["token", "node"])
-             .where("node <> low").select("node", "low").distinct())
+    postings = texts.mapInPandas(rare, "token long, node long, n long")
+    edges = _candidate_edges(postings, percent, hot)
     clusters = stored(components(edges, "node", "low"), "clusters")
     clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
 
@@ -193,7 +225,7 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int =
     weight = chosen.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     weight = stored(weight.select("root", ((F.col("sets") > cluster_sets) | (F.col("all") > cluster_shingles)).alias("large"),
                                   F.col("sets").alias("n")), "weight")
-    chosen = join_by_count(chosen, weight, ["root"], chosen.count(), hot, ["node"])
+    chosen = join_by_count(chosen, weight, ["root"], chosen.count(), hot)
     members = stored(texts.join(chosen, ["k1", "k2"]).groupBy("k1", "k2").agg(
         *[F.first(c).alias(c) for c in ("root", "node", "n", "large", "data")]).drop("k1", "k2"), "members")
     small = members.where("NOT large").select(
@@ -209,14 +241,14 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int =
     classes = stored(texts_low.where("n_shingles > 0").groupBy("node").agg(F.min("low").alias("low"), F.count("*").alias("m"))
                      .join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
     roots = stored(classes.groupBy("root").agg(F.count("*").alias("n"), F.min("low").alias("component_id")), "roots")
-    of_class = join_by_count(classes.select("node", "root", "m"), roots, ["root"], classes.count(), hot, ["node"])
+    of_class = join_by_count(classes.select("node", "root", "m"), roots, ["root"], classes.count(), hot)
     of_class = of_class.select("node", F.col("m").alias("n"), "component_id", F.col("root").alias("component"))
-    of_text = join_by_count(keys.where("n_shingles > 0"), stored(of_class, "classes"), ["node"], keys.count(), hot, ["k1", "k2"])
+    of_text = join_by_count(keys.where("n_shingles > 0"), stored(of_class, "classes"), ["node"], keys.count(), hot)
     none = F.lit(None).cast("long")
     of_text = of_text.select("k1", "k2", "n_shingles", "component_id", "component").union(
         keys.where("n_shingles = 0").select("k1", "k2", "n_shingles", none, none))
     of_text = stored(of_text.join(copies.select("k1", "k2", "n"), ["k1", "k2"]), "texts")
-    out = join_by_count(rows, of_text, ["k1", "k2"], total, hot, [doc_id, "k1"])
+    out = join_by_count(rows, of_text, ["k1", "k2"], total, hot)
     alone = F.col("n_shingles") == 0
     return out.select(*[F.col(n).alias(o) for n, o in zip(named, docs.columns)], "n_shingles",
                       F.when(alone, F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"), "component")

@@ -117,7 +117,7 @@ def repeated_parts(docs: DataFrame, length: int = 200, gram: int = GRAM, sort_by
             .where("n > 1 OR again").select("anchor", "n", ((F.col("low") != F.col("high")) | (F.col("n") == 1)).alias("mixed")))
     seen = stored(seen, "anchors")
     total = seen.agg(F.sum("n")).first()[0] or 0
-    marked = stored(join_by_count(runs, seen, ["anchor"], total, hot, ["k1", "k2", "first"]), "runs")
+    marked = stored(join_by_count(runs, seen, ["anchor"], total, hot), "runs")
 
     covered = [F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("stop")]
     settled = marked.where("NOT mixed").select("k1", "k2", *covered)
@@ -127,7 +127,7 @@ def repeated_parts(docs: DataFrame, length: int = 200, gram: int = GRAM, sort_by
         "anchor", "content", "r.*", "n", (F.col("n") == 1).alias("single")), "contents")
     # every window of a content that occurs twice is repeated
     copied = join_by_count(mixed, contents.select("anchor", "content", "n").where("n > 1"), ["anchor", "content"],
-                           mixed.count(), hot, ["k1", "k2", "first"]).select("k1", "k2", *covered)
+                           mixed.count(), hot).select("k1", "k2", *covered)
 
     large = contents.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > sort_contents).select("anchor")
     wanted = (contents.join(large.withColumn("large", F.lit(True)), "anchor", "left")
@@ -144,8 +144,7 @@ def repeated_parts(docs: DataFrame, length: int = 200, gram: int = GRAM, sort_by
             _counted_windows(length), "k1 long, k2 long, start int, single boolean, h1 long, h2 long")
         windows = stored(windows, "windows")
         counted = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-        twins = join_by_count(windows.where("single"), stored(counted, "windows"), ["h1", "h2"], windows.count(), hot,
-                              ["k1", "k2", "start"])
+        twins = join_by_count(windows.where("single"), stored(counted, "windows"), ["h1", "h2"], windows.count(), hot)
         parts = parts.union(twins.select("k1", "k2", "start", (F.col("start") + length).alias("stop")))
     merged = parts.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("parts"))
     return copies, hot_copies, stored(merged, "parts")
