@@ -25,7 +25,7 @@ SAMPLE_TEXTS, FREQUENT = 20_000, 1 << 18
 CLUSTER_SETS, CLUSTER_SHINGLES, PIVOTS = 2_000, 2_000_000, 32
 HOT = 1_000
 #: Rare shingles that linked classes share at least (small sets: as many as their overlap allows).
-SHARED = 8
+SHARED = 32
 
 
 def _frequent(texts: DataFrame, size: int, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def _candidate_edges(postings: DataFrame, percent: int, hot: int) -> DataFrame:
     live = stored(join_by_count(postings, lists, ["token"], total, hot).select("token", "node", F.col("n").alias("size")).distinct(), "live")
     overlap = F.ceil(F.col("size") * percent / 100)
     need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(overlap * percent / 100) - 1))
-    for _ in range(2):
+    for _ in range(3):
         strong = live.groupBy("node").agg(F.count("*").alias("shared"), F.first("size").alias("size")).where(F.col("shared") >= need)
         live = live.join(strong.select("node"), "node", "left_semi")
         more = stored(live.groupBy("token").agg(F.count("*").alias("n"), F.lit(True).alias("live")).where("n > 1"), "lists")
