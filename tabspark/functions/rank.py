@@ -189,7 +189,8 @@ def running_before(df: DataFrame, groups: list[str], order: str, value: str, out
     quantile bins; bin totals give the offset, and a window inside each bin
     gives the rest, so no task sees more than one bin.
     """
-    splits = sorted(set(df.stat.approxQuantile(order, [i / bins for i in range(1, bins)], 1.0 / (2 * bins))))
+    found = df.stat.approxQuantile(order, [i / bins for i in range(1, bins)], 1.0 / (2 * bins))
+    splits = sorted({x for x in found if math.isfinite(x)})
     edges = [float("-inf"), *splits, float("inf")]
     binned = Bucketizer(splits=edges, inputCol=order, outputCol="_bin").transform(df) \
         if len(edges) > 2 else df.withColumn("_bin", F.lit(0.0))

@@ -109,16 +109,18 @@ def auc_by(df: DataFrame, groups: list[str], positive: str, score: str) -> DataF
     The area is null where a class is absent or a labelled row has no score.
     """
     is_pos = col(positive).cast("boolean")
-    by_score = df.select(*groups, col(score).cast("double").alias("_score"), is_pos.alias("_p")) \
-        .groupBy(*groups, "_score").agg(
+    value = col(score).cast("double")
+    none = value.isNull() | F.isnan(value)
+    by_score = df.select(*groups, F.when(none, float("inf")).otherwise(value).alias("_score"), is_pos.alias("_p"),
+                         (none & is_pos.isNotNull()).alias("_none")) \
+        .groupBy(*groups, "_score").agg(F.bool_or("_none").alias("_none"),
             F.count(F.when(F.col("_p"), True)).alias("_pos"), F.count(F.when(~F.col("_p"), True)).alias("_neg"))
     below = running_before(by_score, groups, "_score", "_neg", "_below")
     u = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2.0))
     p, n = F.sum("_pos"), F.sum("_neg")
-    unscored = F.max(F.when(F.col("_score").isNull() | F.isnan("_score"), F.col("_pos") + F.col("_neg")).otherwise(0))
     area = u / F.nullif(p * n, F.lit(0)).cast("double")
     return below.groupBy(*groups).agg(
-        F.when(unscored == 0, area).alias("auc"), p.alias("n_positive"), (p + n).alias("n"))
+        F.when(~F.bool_or("_none"), area).alias("auc"), p.alias("n_positive"), (p + n).alias("n"))
 
 
 def auc(df: DataFrame, positive: str, score: str) -> DataFrame:
