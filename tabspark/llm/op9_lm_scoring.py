@@ -1,7 +1,14 @@
-"""Language-model scoring: PPM code length and a unigram base, learned from the corpus."""
+"""Language-model scoring: PPM code length and a unigram base, learned from the corpus.
+
+Every context seen in training counts. The most frequent ones are broadcast as a
+compiled trie, which scores what follows its complete contexts where it stands;
+the grams of all other symbols go to the task that holds all trained contexts
+with the same last symbols, and only sums by text come back.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from functools import reduce
 
@@ -12,16 +19,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabspark.llm import ppm
-from tabspark.llm.common import fold, stored, table, text_bytes
+from tabspark.llm.common import HASH_MIX, fold, stored, table, text_bytes
 from tabspark.llm.registry import query
 
 #: A word is kept with every task if at least one training token in so many is that word; a context may
 #: enter the trie if it holds at least one training symbol in so many; and of those the most frequent
-#: ``TRIE`` do. Shares and numbers bound what is broadcast, whatever the corpus.
+#: ``TRIE`` do. Shares and numbers bound what is broadcast, whatever the corpus; the other words and
+#: contexts are looked up by shuffle.
 COMMON_WORDS = 1 << 17
 CONTEXTS = 1 << 18
 TRIE = 60_000
 ORDER = 5
+#: Last symbols of a context by which grams are dealt out; contexts with fewer are few and broadcast.
+SHARED = 2
+#: Distinct trained grams that a task holds, more or less; texts and symbols that are asked for together.
+PART_GRAMS, BLOCK_TEXTS, BLOCK_SYMBOLS = 2_000_000, 1024, 1_000_000
 
 
 def _count_words(texts: DataFrame) -> DataFrame:
@@ -66,8 +78,92 @@ def _count_grams(texts: DataFrame, order: int, block: int = 2_000_000) -> DataFr
     return texts.mapInPandas(run, "gram long, n long")
 
 
-def train_ppm(texts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS, trie: int = TRIE) -> ppm.Automaton:
-    """Counts all of ``texts`` (data binary); the most frequent contexts make the trie.
+def _pack(values: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending values and their counts; bytes of equal weight lie together, so that they compress."""
+    step = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    coder = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, 9, zlib.Z_RLE)
+    return b"".join([*[coder.compress(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()) for a in (step, n)],
+                     coder.flush()])
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, n = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, 8, -1)
+    return (np.cumsum(np.ascontiguousarray(step.T).view(np.uint64).ravel(), dtype=np.uint64),
+            np.ascontiguousarray(n.T).view(np.int64).ravel())
+
+
+def _dealt(grams: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places) of the grams by the last symbols of their contexts; places ascend."""
+    key = ((grams >> ppm.BITS) & ppm.mask(SHARED)).astype(np.uint64)
+    part = (((key + np.uint64(1)) * np.uint64(HASH_MIX)) >> np.uint64(33)) % np.uint64(parts)
+    part = part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+    by = np.argsort(part, kind="stable")
+    own, first = np.unique(part[by], return_index=True)
+    return list(zip(own.tolist(), np.split(by, first[1:]))) if len(by) else []
+
+
+def _packed_grams(grams: DataFrame, parts: int) -> DataFrame:
+    """(part, key, packed) of all trained grams; key is null."""
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            gram, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            by = np.argsort(gram)
+            gram, n = gram[by], n[by]
+            rows = [(p, None, _pack(gram[at], n[at])) for p, at in _dealt(gram, parts)]
+            return pd.DataFrame(rows, columns=["part", "key", "packed"])
+
+        for batch in batches:
+            held.append((batch["gram"].to_numpy(), batch["n"].to_numpy()))
+            size += len(batch)
+            if size >= 500_000:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return grams.mapInPandas(run, "part long, key long, packed binary")
+
+
+def _open_scores(asked: DataFrame, grams: DataFrame, low: dict, order: int, parts: int) -> DataFrame:
+    """(key, open) partial log10 probabilities by text of the grams in ``asked`` (part, key, packed).
+
+    A value in ``asked`` is a gram and the text's place after the block's ``key``.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches):
+        now, held, model = None, [], None
+        for batch in batches:
+            keys, sums = [], []
+            for part, key, packed in zip(batch["part"], batch["key"], batch["packed"]):
+                if part != now:
+                    now, held, model = part, [], None
+                values, n = _unpack(packed)
+                if pd.isna(key):
+                    held.append((values.astype(np.int64), n))
+                    continue
+                if model is None:
+                    gram, m = (np.concatenate([h[i] for h in held] or [np.empty(0, np.int64)]) for i in (0, 1))
+                    held, by = [], np.argsort(gram)
+                    model = ppm.Counts(order, SHARED, gram[by], m[by], shared.value)
+                text = (values & np.uint64(BLOCK_TEXTS - 1)).astype(np.int64)
+                value = np.bincount(text, model.log10((values // np.uint64(BLOCK_TEXTS)).astype(np.int64)) * n)
+                own = np.unique(text)
+                keys.append(int(key) + own)
+                sums.append(value[own])
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "open": np.concatenate(sums)})
+
+    rows = _packed_grams(grams, parts).union(asked.select("part", "key", "packed"))
+    return (rows.repartition(parts, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first())
+            .mapInPandas(run, "key long, open double"))
+
+
+def train_ppm(texts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS, trie: int = TRIE
+              ) -> tuple[ppm.Automaton, DataFrame, dict]:
+    """Counts all of ``texts`` (data binary): the trie of the most frequent contexts, all grams, the shortest ones.
 
     Shorter contexts follow from the longest ones, as every symbol has ``order``
     symbols before it. All contexts above one count are kept, with all their
@@ -97,11 +193,15 @@ def train_ppm(texts: DataFrame, order: int = ORDER, contexts: int = CONTEXTS, tr
         gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
         by = np.argsort(gram)
         entries[k] = (gram[by].astype(np.int64), n[by].astype(np.float64))
-    return ppm.compile_trie(order, entries)
+    low = {}
+    for k in range(SHARED):
+        rows = levels[k].toArrow().sort_by("gram")
+        low[k] = rows["gram"].to_numpy(), rows["n"].to_numpy()
+    return ppm.compile_trie(order, entries), grams, low
 
 
 def score_corpus(docs: DataFrame, trained: Column, order: int = ORDER, contexts: int = CONTEXTS, trie: int = TRIE,
-                 common_words: int = COMMON_WORDS) -> DataFrame:
+                 common_words: int = COMMON_WORDS, part_grams: int = PART_GRAMS) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text); learns from those where ``trained`` holds.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
@@ -119,7 +219,17 @@ def score_corpus(docs: DataFrame, trained: Column, order: int = ORDER, contexts:
     cells = n + 0.5 * (v + 1)
     often = words.where(F.col("n") * common_words >= n).toArrow()
     common = dict(zip(often["word"].to_pylist(), often["n"].to_pylist()))
-    shared = spark.sparkContext.broadcast((train_ppm(texts, order, contexts, trie), common))
+    model, grams, low = train_ppm(texts, order, contexts, trie)
+    parts = max(12, -(-grams.count() // part_grams))
+    shared = spark.sparkContext.broadcast((model, common))
+    del model
+
+    def ask(held, key):
+        text, gram = (np.concatenate([h[i] for h in held]).astype(np.uint64) for i in (0, 1))
+        asked, times = np.unique(gram * np.uint64(BLOCK_TEXTS) + text, return_counts=True)
+        for part, at in _dealt((asked // np.uint64(BLOCK_TEXTS)).astype(np.int64), parts):
+            yield pd.DataFrame([(key, part, _pack(asked[at], times[at]))], columns=["key", "part_no", "packed"]).reindex(
+                columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
 
     def run(batches):
         model, known = shared.value
@@ -127,13 +237,21 @@ def score_corpus(docs: DataFrame, trained: Column, order: int = ORDER, contexts:
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             first, count = 0, len(batch)
+            held, since = [], 0
             data = list(batch["data"])
             while first < count:
                 last, size = first, 0
-                while last < count and (last == first or size + len(data[last]) <= 1_000_000):
+                while last < count and last - first < BLOCK_TEXTS and (last == first or size + len(data[last]) <= 1_000_000):
                     size += len(data[last])
                     last += 1
-                scores = model.score(data[first:last])
+                scores, text, gram = model.split(data[first:last])
+                if held and (last - since > BLOCK_TEXTS or sum(len(g) for _, g in held) > BLOCK_SYMBOLS):
+                    yield from ask(held, key + since)
+                    held = []
+                if not held:
+                    since = first
+                held.append((text + (first - since), gram))
+                del text, gram
                 main, rare_key, rare_word, rare_n = [], [], [], []
                 for i in range(first, last):
                     tokens = Counter(data[i].lower().split())
@@ -160,29 +278,35 @@ def score_corpus(docs: DataFrame, trained: Column, order: int = ORDER, contexts:
                 frame["doc_id"] = pd.array(frame["doc_id"], "Int64")
                 frame["trained"] = batch["trained"].to_numpy()[first:last]
                 frame["score"] = scores
-                frame["word"] = None
+                frame["word"] = frame["part_no"] = frame["packed"] = None
                 yield frame[COLUMNS]
                 if rare_key:
                     rare = pd.DataFrame({"key": rare_key, "word": rare_word, "n_tokens": rare_n})
                     yield rare.reindex(columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
                 first = last
+            if held:
+                yield from ask(held, key + since)
             key += count
 
     rows = stored(source.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(
-        run, "key long, doc_id long, trained boolean, n_tokens long, known long, part double, score double, word binary"),
+        run, "key long, doc_id long, trained boolean, n_tokens long, known long, part double, score double, word binary, part_no long, packed binary"),
         "scored")
     rare = (rows.where(F.col("word").isNotNull()).select("key", "word", F.col("n_tokens").alias("m"))
             .join(words.where(F.col("n") * common_words < n), "word", "left")
             .groupBy("key").agg(
                 F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("rare_known"),
                 F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(cells))).alias("rare_part")))
-    return rows.where(F.col("word").isNull()).join(rare, "key", "left").select(
+    asked = rows.where(F.col("part_no").isNotNull()).select(F.col("part_no").alias("part"), "key", "packed")
+    opened = _open_scores(asked, grams, low, order, parts).groupBy("key").agg(F.sum("open").alias("open"))
+    main = rows.where(F.col("word").isNull() & F.col("part_no").isNull()).drop("word", "part_no", "packed")
+    return main.join(rare, "key", "left").join(opened, "key", "left").select(
         "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("rare_part", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("part") + F.coalesce("rare_part", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("open", F.lit(0.0))).alias("score"))
 
 
-COLUMNS = ["key", "doc_id", "trained", "n_tokens", "known", "part", "score", "word"]
+COLUMNS = ["key", "doc_id", "trained", "n_tokens", "known", "part", "score", "word", "part_no", "packed"]
 
 
 @query("op9_lm_scoring")

@@ -46,11 +46,16 @@ def count_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]
     event = np.ones(len(z), bool)
     for k in range(order):
         event[starts[:-1] + k] = False
+    return np.unique(_grams(z, order)[event], return_counts=True)
+
+
+def _grams(z: np.ndarray, order: int) -> np.ndarray:
+    """The pack of ``order`` + 1 symbols that ends at each place."""
     gram = np.zeros(len(z), np.int64)
     for back in range(order, -1, -1):
         gram <<= BITS
         gram[back:] |= z[:len(z) - back]
-    return np.unique(gram[event], return_counts=True)
+    return gram
 
 
 @dataclass
@@ -60,6 +65,7 @@ class Automaton:
     follow: np.ndarray  # state * columns + column -> next state
     log10: np.ndarray   # state * columns + column -> log10 probability
     columns: int
+    complete: int  # states from this one on are contexts of the full order; what follows them is exact
 
     def score(self, texts: list[bytes], lane: int = 512) -> np.ndarray:
         """log10 probability of each whole text with its end.
@@ -71,6 +77,27 @@ class Automaton:
         if not texts:
             return np.empty(0)
         z, starts = pad_texts(texts, self.order)
+        value, _ = self._walk(z, lane)
+        for k in range(self.order):
+            value[starts[:-1] + k] = 0.0
+        return np.add.reduceat(value, starts[:-1])
+
+    def split(self, texts: list[bytes], lane: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of what follows complete contexts in each text; (text, gram) of all other symbols."""
+        if not texts:
+            return np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        z, starts = pad_texts(texts, self.order)
+        value, sure = self._walk(z, lane)
+        value[~sure] = 0.0
+        rest = ~sure
+        for k in range(self.order):
+            value[starts[:-1] + k] = 0.0
+            rest[starts[:-1] + k] = False
+        text = np.repeat(np.arange(len(texts)), np.diff(starts))
+        return np.add.reduceat(value, starts[:-1]), text[rest], _grams(z, self.order)[rest]
+
+    def _walk(self, z: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each symbol, and whether a complete context is before it."""
         lanes = -(-len(z) // lane)
         col = np.full(self.order + lanes * lane, self.column[BOUNDARY], np.int32)
         col[self.order:self.order + len(z)] = self.column[z]
@@ -78,15 +105,15 @@ class Automaton:
             col, (lane + self.order, lanes), (col.itemsize, col.itemsize * lane))
         state = np.zeros(lanes, np.int32)
         found = np.zeros((lane, lanes), np.float32)
+        sure = np.zeros((lane, lanes), bool)
+        least = self.complete * self.columns
         for t in range(lane + self.order):
             at = state * np.int32(self.columns) + steps[t]
             if t >= self.order:
                 np.take(self.log10, at, out=found[t - self.order])
+                np.greater_equal(at, least, out=sure[t - self.order])
             state = np.take(self.follow, at)
-        value = found.T.reshape(-1)[:len(z)].astype(np.float64)
-        for k in range(self.order):
-            value[starts[:-1] + k] = 0.0
-        return np.add.reduceat(value, starts[:-1])
+        return found.T.reshape(-1)[:len(z)].astype(np.float64), sure.T.reshape(-1)[:len(z)]
 
 
 def compile_trie(order: int, entries: dict[int, tuple[np.ndarray, np.ndarray]]) -> Automaton:
@@ -97,7 +124,7 @@ def compile_trie(order: int, entries: dict[int, tuple[np.ndarray, np.ndarray]])
     """
     if not len(entries.get(0, (np.empty(0),))[0]):
         column = np.zeros(SYMBOLS, np.int32)
-        return Automaton(order, column, np.zeros(1, np.int32), np.full(1, -np.log10(SYMBOLS), np.float32), 1)
+        return Automaton(order, column, np.zeros(1, np.int32), np.full(1, -np.log10(SYMBOLS), np.float32), 1, 1)
     alphabet = np.unique(entries[0][0] & mask(1))
     a = len(alphabet)
     column = np.full(SYMBOLS, a, np.int32)
@@ -141,7 +168,7 @@ def compile_trie(order: int, entries: dict[int, tuple[np.ndarray, np.ndarray]])
                 longest = np.where(contexts[size][at] == key, first[size] + at, longest)
             follow[first[k] + start:first[k] + start + len(part), :a] = longest
     log /= np.float32(np.log(10))
-    return Automaton(order, column, follow.ravel(), log.ravel(), a + 1)
+    return Automaton(order, column, follow.ravel(), log.ravel(), a + 1, first[order])
 
 
 def _distribution(own: np.ndarray, gives: float, a: int, parent) -> tuple[np.ndarray, np.ndarray]:
@@ -168,3 +195,61 @@ def _distribution(own: np.ndarray, gives: float, a: int, parent) -> tuple[np.nda
         log = escape[:, None] + rest
         log[:, :a] = np.where(seen, np.log(own / whole[:, None]), log[:, :a])
     return log.astype(np.float32), escape
+
+
+class Counts:
+    """All contexts that end in some ``shared`` symbols or more, for grams that the compiled trie leaves open.
+
+    ``grams`` and ``n`` are every trained gram of the full order whose context
+    ends in these symbols, sorted; ``low`` holds all (grams, counts) of each
+    order below ``shared``.
+    """
+
+    def __init__(self, order: int, shared: int, grams: np.ndarray, n: np.ndarray, low: dict):
+        self.order = order
+        self.gram, self.n, self.context, self.of, self.total, self.distinct = ({} for _ in range(6))
+        for k in range(order, -1, -1):
+            if k < shared:
+                grams, n = low[k]
+            elif k < order:
+                grams, back = np.unique(grams & mask(k + 1), return_inverse=True)
+                n = np.bincount(back, n, len(grams))
+            self.gram[k], self.n[k] = grams, n.astype(np.float64)
+            self.context[k], at, size = np.unique(grams >> BITS, return_index=True, return_counts=True)
+            self.of[k] = np.repeat(np.arange(len(size)), size)
+            self.total[k] = np.add.reduceat(self.n[k], at) if len(at) else np.empty(0)
+            self.distinct[k] = size
+        self.symbols = len(self.gram[0])
+        # what a shorter context has left when the symbols of a longer one are excluded
+        self.left, self.fresh = {}, {}
+        for k in range(1, order + 1):
+            parent = np.searchsorted(self.context[k - 1], self.context[k] & mask(k - 1))
+            below = self.n[k - 1][np.searchsorted(self.gram[k - 1], self.gram[k] & mask(k))]
+            self.left[k] = self.total[k - 1][parent] - np.bincount(self.of[k], below, len(parent))
+            self.fresh[k] = self.distinct[k - 1][parent] - self.distinct[k]
+
+    def log10(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each gram after the others."""
+        out = np.zeros(len(grams))
+        todo, longer = np.arange(len(grams)), np.full(len(grams), -1)
+        for k in range(self.order, -1, -1):
+            if not len(self.gram[k]) or not len(todo):
+                continue
+            gives = ESCAPE if k > 0 or self.symbols < SYMBOLS else 0.0
+            g = grams[todo] & mask(k + 1)
+            i = np.minimum(np.searchsorted(self.gram[k], g), len(self.gram[k]) - 1)
+            hit = self.gram[k][i] == g
+            at = np.where(hit, self.of[k][i], -1)
+            c = g[~hit] >> BITS
+            j = np.minimum(np.searchsorted(self.context[k], c), len(self.context[k]) - 1)
+            at[~hit] = np.where(self.context[k][j] == c, j, -1)
+            whole, kinds = self.total[k][at], self.distinct[k][at]
+            if k < self.order and len(self.context[k + 1]):
+                whole = np.where(longer < 0, whole, self.left[k + 1][longer])
+                kinds = np.where(longer < 0, kinds, self.fresh[k + 1][longer])
+            out[todo[hit]] += np.log10((self.n[k][i[hit]] - gives) / whole[hit])
+            escapes = ~hit & (at >= 0) & (kinds > 0)
+            out[todo[escapes]] += np.log10(gives * kinds[escapes] / whole[escapes])
+            todo, longer = todo[~hit], at[~hit]
+        out[todo] -= np.log10(max(SYMBOLS - self.symbols, 1))
+        return out
