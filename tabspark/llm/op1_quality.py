@@ -130,19 +130,27 @@ def _features(texts) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep, max_rows: int) -> DataFrame:
-    """Features and label of at most ``max_rows`` labelled documents, chosen by the hash of their id."""
+    """Features and label of at most ``max_rows`` labelled ids, chosen by their hash.
+
+    An id gives one row, however many documents have it: the one whose text has the least hash.
+    """
     labels = labels.where(keep & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = (hashed_sample(labels, ["doc_id"], labels.count(), max_rows).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     rows = docs.select("doc_id", text_bytes().alias("_data")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.withColumn("_hash", F.xxhash64("_data"))
 
     def run(batches):
+        best: dict = {}  # one row of each id, so no more than ``max_rows``
         for batch in batches:
-            out = pd.DataFrame({"x": list(_features(batch["_data"]))})
-            out["y"], out["k"] = batch["_label"].to_numpy(), batch["doc_id"].to_numpy()
-            yield out
-
-    return rows.mapInPandas(run, "x array<double>, y int, k long")
+            for k, text, y, h in zip(batch["doc_id"], batch["_data"], batch["_label"], batch["_hash"]):
+                if k not in best or h < best[k][0]:
+                    best[k] = (h, statistics(text), y)
+        if best:
+            yield pd.DataFrame([(k, *row) for k, row in best.items()], columns=["k", "h", "x", "y"])
+
+    return (rows.mapInPandas(run, "k long, h long, x array<double>, y int")
+            .groupBy("k").agg(F.min(F.struct("h", "x", "y")).alias("r")).select("r.x", "r.y", "k"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, max_rows: int = 20_000, **grow) -> Trees:
