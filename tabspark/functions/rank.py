@@ -16,111 +16,130 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabspark.config import EngineConfig
 from tabspark.functions.expr import col, dtype_of, present
 
-# Brackets of so many rows or fewer are read; the sketch's error is one row in so many.
-_FEW, _ACCURACY = 5_000, 10_000
-_NEAR = 2.0 / _ACCURACY
+# Brackets of so many rows or fewer are counted value by value.
+_FEW = 20_000
+# Equal cells of a bracket; before there is one, a cell spans this share of an octave of the values' size.
+_ACCURACY, _NEAR = 4_096, 1 / 64
+# Columns up to which each has aggregates of its own.
+_WIDE = 20
 
 
 def column_ranges(df: DataFrame, columns: list[str]) -> dict:
-    """Rows, and per column its present rows, extremes, mean and population deviation: one aggregate."""
-    values = df.select([present(col(c), dtype_of(df, c)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    aggs = [F.count(F.lit(1)).alias("n")]
+    """Rows, and per column its present rows, extremes, mean and population deviation: one aggregate.
+
+    Many columns are aggregated in long form, so that the plan stays small.
+    """
+    def moments(v: Column) -> list[Column]:
+        return [F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_pop(v)]
+
+    kinds = ("c", "lo", "hi", "m", "s")
+    values = [present(col(c), dtype_of(df, c)).cast("double") for c in columns]
+    if len(columns) <= _WIDE:
+        named = df.select([v.alias(f"v{i}") for i, v in enumerate(values)])
+        aggs = [a.alias(f"{k}{i}") for i in range(len(columns)) for k, a in zip(kinds, moments(F.col(f"v{i}")))]
+        return named.agg(F.count(F.lit(1)).alias("n"), *aggs).first().asDict()
+    # the number -1 stands for the row itself
+    long = df.select(F.posexplode(F.array(F.lit(0.0), *values)).alias("p", "v")).groupBy((F.col("p") - 1).alias("i"))
+    rows = {r["i"]: r for r in long.agg(*[a.alias(k) for k, a in zip(kinds, moments(F.col("v")))]).collect()}  # one per column
+    out = {"n": rows[-1]["c"] if rows else 0}
     for i in range(len(columns)):
-        v = F.col(f"v{i}")
-        aggs += [F.count(v).alias(f"c{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
-    return values.agg(*aggs).first().asDict()
+        out |= {f"{k}{i}": rows[i][k] if rows else (0 if k == "c" else None) for k in kinds}
+    return out
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                    config: EngineConfig = EngineConfig(), ranges: dict | None = None) -> dict[str, list[float | None]]:
+                    config: EngineConfig = EngineConfig()) -> dict[str, list[float | None]]:
     """Interpolated quantiles of every column, exactly, as plain numbers.
 
-    A sketch names two values of the column close to the wanted rank on either
-    side; counting the rows below and at them tells which of them it is, or
-    leaves the rows between them (some ten-thousandths of all) for the next
-    round. Brackets end in values of the column, so infinities, outliers and
-    ties need no care, and every table takes the same way. ``ranges`` is the
-    result of ``column_ranges`` where the caller has it already.
+    All columns and ranks are searched together in long form (column, value): each
+    pass counts the values' cells, keeps the cell that holds a rank, and narrows
+    the next pass to the values in it. The plan does not grow with the number of
+    ranks, and every count is combined on the map side.
     """
     if not columns:
         return {}
-    values = df.select([present(col(c), dtype_of(df, c)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    counts = ranges or column_ranges(df, columns)
-    wanted = {}
-    for i in range(len(columns)):
-        n = counts[f"c{i}"]
-        for p in probabilities if n else ():
-            position = p * (n - 1)
-            for rank in {math.floor(position), math.ceil(position)}:
-                wanted[(i, int(rank))] = (counts[f"lo{i}"], counts[f"hi{i}"], 0, n)
-    found = _values_at_ranks(values, wanted)
+    asked = sorted(set(probabilities))
+    totals, found = _values_at_ranks(long_values(df, columns), asked)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
         out[c] = []
         for p in probabilities:
-            position = p * (counts[f"c{i}"] - 1)
-            if not counts[f"c{i}"]:
+            if i not in totals:
                 out[c].append(None)
                 continue
+            position = p * (totals[i] - 1)
             low, high = found[(i, math.floor(position))], found[(i, math.ceil(position))]
             # equal ends, infinite ones too, need no interpolation
             out[c].append(low if low == high else low + (high - low) * (position - math.floor(position)))
     return out
 
 
-def _values_at_ranks(values: DataFrame, open_: dict) -> dict:
-    """Values at zero-based ranks. State per (column, rank): bracket, rows below it, rows in it."""
-    found: dict[tuple[int, int], float] = {}
-    while open_:
+def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, v): number of the column and each of its present values, as a double."""
+    values = F.array(*[present(col(c), dtype_of(df, c)).cast("double") for c in columns])
+    return df.select(F.posexplode(values).alias("i", "v")).where("v IS NOT NULL")
+
+
+def _size_cell(v: Column) -> Column:
+    """Small shares of an octave, in the order of the values; zero and the infinities have cells of their own."""
+    octave = F.least(F.log2(F.abs(v)), F.lit(1_200.0)) + 1_100.0  # doubles reach from octave -1,074 to 1,023
+    size = F.floor(octave / _NEAR).cast("int")
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
+
+
+def _equal_cell(v: Column, low: Column, high: Column) -> Column:
+    """Equal cells between two values of one sign and nearly one size; the greatest value has its own."""
+    return F.when(v >= high, F.lit(_ACCURACY)).otherwise(
+        F.least(F.floor((v - low) / (high - low) * _ACCURACY), F.lit(_ACCURACY - 1))).cast("double")
+
+
+def _values_at_ranks(values: DataFrame, probabilities: list[float]) -> tuple[dict, dict]:
+    """{column: present rows} and {(column, zero-based rank): value} for the ranks next to each probability.
+
+    A bracket is two values of a column with the rows below it and in it. Its
+    ends are the least and greatest value of a cell, so a pass ends with one
+    value, or with the cell cut in at least two.
+    """
+    spark = values.sparkSession
+    order = Window.partitionBy("i", "b").orderBy("cell")
+    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("i", "b")
+
+    def counted(rows: DataFrame, cell: Column) -> DataFrame:
+        cells = rows.groupBy("i", "b", cell.alias("cell")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        return cells.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(whole))
+
+    first = counted(values.withColumn("b", F.lit(0)), _size_cell(F.col("v")))
+    position = lambda p: F.lit(p) * (F.col("total") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(position(p)), F.ceil(position(p))) for p in probabilities])))
+    hits = (first.withColumn("rank", F.explode(F.filter(ranks, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))))
+            .select("i", "rank", "low", "high", (F.col("upto") - F.col("n")).alias("below"), "n", "total").collect())
+    totals, found, open_ = {}, {}, {}
+    for r in hits:
+        totals[r["i"]] = r["total"]
+        open_[(r["i"], r["rank"])] = (r["low"], r["high"], r["below"], r["n"])
+    while True:
         for key, (low, high, _, _) in list(open_.items()):
             if low == high:
                 found[key] = low
                 del open_[key]
-        few = {(k[0], *s) for k, s in open_.items() if s[3] <= _FEW}
-        large = sorted({(k, *s) for k, s in open_.items() if s[3] > _FEW})
-        aggs, few = [], sorted(few)
-        for j, (i, low, high, _, _) in enumerate(few):
-            aggs.append(F.sort_array(F.collect_list(_inside(i, low, high))).alias(f"f{j}"))
-        shared: dict[tuple, list] = {}  # one sketch for all ranks of a bracket
-        for key, low, high, below, n in large:
-            at = (key[1] - below + 0.5) / n
-            shared.setdefault((key[0], low, high), []).append((key, [min(max(at + d, 0.0), 1.0) for d in (-_NEAR, _NEAR)]))
-        for j, (bracket, asks) in enumerate(shared.items()):
-            near = F.array(*[F.lit(f) for _, ends in asks for f in ends])
-            aggs.append(F.percentile_approx(_inside(*bracket), near, _ACCURACY).alias(f"q{j}"))
-        if not aggs:
-            break
-        row = values.agg(*aggs).first()
-        for j, (i, low, high, below, n) in enumerate(few):
-            for key in [k for k, s in open_.items() if (k[0], *s) == (i, low, high, below, n)]:
-                found[key] = row[f"f{j}"][key[1] - below]
-                del open_[key]
-        if not large:
-            continue
-        ends = {key: row[f"q{j}"][2 * k:2 * k + 2] for j, asks in enumerate(shared.values()) for k, (key, _) in enumerate(asks)}
-        aggs = []
-        for key, low, high, _, _ in large:
-            v, (a, z) = _inside(key[0], low, high), ends[key]
-            between = F.when((v > a) & (v < z), v)
-            aggs += [F.count(F.when(v < a, 1)), F.count(F.when(v == a, 1)), F.count(between), F.count(F.when((v == z) & (z > a), 1)),
-                     F.max(F.when(v < a, v)), F.min(between), F.max(between), F.min(F.when(v > z, v))]
-        row2 = values.agg(*aggs).first()
-        for j, (key, low, high, below, n) in enumerate(large):
-            a, z = ends[key]
-            less, at_a, inner, at_z, last_less, first_in, last_in, first_more = row2[8 * j:8 * j + 8]
-            for size, bracket in ((less, (low, last_less)), (at_a, (a, a)), (inner, (first_in, last_in)),
-                                  (at_z, (z, z)), (n - less - at_a - inner - at_z, (first_more, high))):
-                if key[1] < below + size:
-                    open_[key] = (*bracket, below, size)
-                    break
-                below += size
-    return found
-
-
-def _inside(i: int, low: float, high: float) -> Column:
-    v = F.col(f"v{i}")
-    return F.when(v.between(F.lit(low), F.lit(high)), v)
+        if not open_:
+            return totals, found
+        brackets = sorted({(key[0], *s) for key, s in open_.items()})
+        number = {x: b for b, x in enumerate(brackets)}
+        # one row per open bracket: as many as ranks were asked for at most
+        table = spark.createDataFrame([(x[0], b, x[1], x[2], x[3], x[4] <= _FEW) for b, x in enumerate(brackets)],
+                                      "bi int, b int, lo double, hi double, below long, few boolean")
+        asks = spark.createDataFrame([(number[(i, *s)], rank) for (i, rank), s in open_.items()], "ab int, rank long")
+        inside = values.join(F.broadcast(table), (F.col("i") == F.col("bi")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        # where few values are left, each is a cell
+        cells = counted(inside, F.when(F.col("few"), F.col("v")).otherwise(_equal_cell(F.col("v"), F.col("lo"), F.col("hi"))))
+        below = F.col("below") + F.col("upto") - F.col("n")
+        hits = (cells.join(F.broadcast(table.select("b", "below")), "b").join(F.broadcast(asks), F.col("b") == F.col("ab"))
+                .where((F.col("rank") >= below) & (F.col("rank") < below + F.col("n")))
+                .select("i", "rank", "low", "high", below.alias("below"), "n").collect())
+        for r in hits:
+            open_[(r["i"], r["rank"])] = (r["low"], r["high"], r["below"], r["n"])
 
 
 def hash_order(key: Column, seed: int) -> Column:

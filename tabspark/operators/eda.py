@@ -15,10 +15,11 @@ from tabspark.config import EngineConfig
 from tabspark.functions.expr import categorical_columns, col, dtype_of, numeric_columns, present
 from tabspark.functions.rank import column_ranges, exact_quantiles
 from tabspark.operators.encode import scaled
+from tabspark.operators.gram import pair_sums
 from tabspark.operators.quality import missing_severity, nulls_by_column
 from tabspark.operators.valuecounts import value_counts
 
-# Pairs of columns per aggregate: keeps the generated plan small.
+# Pairs of columns that one plain aggregate holds: keeps the generated plan small.
 _PAIRS_PER_PASS = 120
 
 
@@ -129,8 +130,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     """(column_a, column_b, r) for every pair a before b, over rows where both are present.
 
     A first pass gives means and deviations; the columns enter the second
-    standardised, as plain sums: one per pair without missing values, six
-    otherwise. Wide tables without missing values use one Gram matrix.
+    standardised. Few pairs are plain sums: one per pair without missing values,
+    six otherwise. Wide tables use one matrix of products over all columns.
     """
     columns = columns or numeric_columns(df)
     pairs = list(itertools.combinations(range(len(columns)), 2))
@@ -138,33 +139,48 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
     stats = column_ranges(df, columns)
     whole = {i for i in range(len(columns)) if stats[f"c{i}"] == stats["n"]}
-    if len(pairs) > _PAIRS_PER_PASS and len(whole) == len(columns):
-        return _correlation_dense(df, columns)
+    if len(pairs) > _PAIRS_PER_PASS:
+        dense = stats["n"] and len(whole) == len(columns)
+        return _correlation_dense(df, columns) if dense else _correlation_holed(df, columns, stats)
     varies = {i for i in range(len(columns)) if stats[f"s{i}"]}
     values = df.select([scaled(_number(df, c), stats[f"m{i}"], stats[f"s{i}"]).alias(f"z{i}")
                         for i, c in enumerate(columns)])
-    parts = []
-    for start in range(0, len(pairs), _PAIRS_PER_PASS):
-        aggs, rows = [], []
-        for i, j in pairs[start:start + _PAIRS_PER_PASS]:
-            a, b, k = F.col(f"z{i}"), F.col(f"z{j}"), f"{i}_{j}"
-            if i not in varies or j not in varies:
-                r = F.lit(None).cast("double")
-            elif i in whole and j in whole:
-                aggs.append(F.avg(a * b).alias(f"xy{k}"))
-                r = F.col(f"xy{k}")
-            else:
-                both = a.isNotNull() & b.isNotNull()
-                aggs += [F.count(F.when(both, True)).alias(f"n{k}"), F.sum(F.when(both, a)).alias(f"x{k}"),
-                         F.sum(F.when(both, b)).alias(f"y{k}"), F.sum(F.when(both, a * a)).alias(f"xx{k}"),
-                         F.sum(F.when(both, b * b)).alias(f"yy{k}"), F.sum(a * b).alias(f"xy{k}")]
-                n, x, y, xx, yy, xy = (F.col(f"{p}{k}") for p in ("n", "x", "y", "xx", "yy", "xy"))
-                spread = (n * xx - x * x) * (n * yy - y * y)
-                r = F.when(spread > 1e-12 * n * n, (n * xy - x * y) / F.sqrt(spread))
-            rows.append(F.struct(F.lit(columns[i]).alias("column_a"), F.lit(columns[j]).alias("column_b"), r.alias("r")))
-        sums = values.agg(*aggs) if aggs else values.limit(0).agg(F.count(F.lit(1)))
-        parts.append(sums.select(F.explode(F.array(*rows)).alias("p")).select("p.*"))
-    return reduce(DataFrame.unionByName, parts)
+    aggs, rows = [], []
+    for i, j in pairs:
+        a, b, k = F.col(f"z{i}"), F.col(f"z{j}"), f"{i}_{j}"
+        if i not in varies or j not in varies:
+            r = F.lit(None).cast("double")
+        elif i in whole and j in whole:
+            aggs.append(F.avg(a * b).alias(f"xy{k}"))
+            r = F.col(f"xy{k}")
+        else:
+            both = a.isNotNull() & b.isNotNull()
+            aggs += [F.count(F.when(both, True)).alias(f"n{k}"), F.sum(F.when(both, a)).alias(f"x{k}"),
+                     F.sum(F.when(both, b)).alias(f"y{k}"), F.sum(F.when(both, a * a)).alias(f"xx{k}"),
+                     F.sum(F.when(both, b * b)).alias(f"yy{k}"), F.sum(a * b).alias(f"xy{k}")]
+            r = _pearson(*(F.col(f"{p}{k}") for p in ("n", "x", "y", "xx", "yy", "xy")))
+        rows.append(F.struct(F.lit(columns[i]).alias("column_a"), F.lit(columns[j]).alias("column_b"), r.alias("r")))
+    sums = values.agg(*aggs) if aggs else values.limit(0).agg(F.count(F.lit(1)))
+    return sums.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+
+
+def _pearson(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
+    """r from sums of standardised values; null where a side hardly varies."""
+    spread = (n * xx - x * x) * (n * yy - y * y)
+    return F.when(spread > 1e-12 * n * n, (n * xy - x * y) / F.sqrt(spread))
+
+
+def _correlation_holed(df: DataFrame, columns: list[str], stats: dict, diagonal: bool = False) -> DataFrame:
+    """The pairs of a wide table with missing values: one scan, whatever the number of columns."""
+    if not stats["n"]:
+        pick = itertools.combinations_with_replacement if diagonal else itertools.combinations
+        return df.sparkSession.createDataFrame([(a, b, None) for a, b in pick(columns, 2)], "column_a string, column_b string, r double")
+    z = [scaled(_number(df, c), stats[f"m{i}"], stats[f"s{i}"]) for i, c in enumerate(columns)]
+    names = F.array(*[F.lit(c) for c in columns])
+    constant = F.array(*[F.lit(not stats[f"s{i}"]) for i in range(len(columns))])
+    r = F.when(~F.get(constant, F.col("i")) & ~F.get(constant, F.col("j")), _pearson(*map(F.col, ("n", "x", "y", "xx", "yy", "xy"))))
+    return pair_sums(df, z, diagonal).select(
+        F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), r.alias("r"))
 
 
 def _correlation_dense(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -178,9 +194,16 @@ def _correlation_dense(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Both triangles and the diagonal, as (column_a, column_b, r)."""
     columns = columns or numeric_columns(df)
-    both = correlation_pairs(df, columns).select(F.explode(F.array(
-        F.struct("column_a", "column_b", "r"),
-        F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r"))).alias("p")).select("p.*")
+    sides = F.array(F.struct("column_a", "column_b", "r"),
+                    F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r"))
+    if len(columns) * (len(columns) - 1) // 2 > _PAIRS_PER_PASS:
+        stats = column_ranges(df, columns)
+        if not stats["n"] or any(stats[f"c{i}"] < stats["n"] for i in range(len(columns))):
+            found = _correlation_holed(df, columns, stats, diagonal=True)
+            same = F.col("column_a") == F.col("column_b")
+            own = F.array(F.struct("column_a", "column_b", F.when(F.col("r").isNotNull(), 1.0).alias("r")))
+            return found.select(F.explode(F.when(same, own).otherwise(sides)).alias("p")).select("p.*")
+    both = correlation_pairs(df, columns).select(F.explode(sides).alias("p")).select("p.*")
     diagonal = df.agg(F.array(*[
         F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"),
                  F.when(F.var_pop(_number(df, c)) > 0, F.lit(1.0)).alias("r")) for c in columns]).alias("d")
@@ -237,12 +260,13 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, top: int
     Deciles are literals, so binning is row-local and the joint counts are the
     only shuffle: columns x bins x classes rows.
     """
-    probs = [0.5] + [i / bins for i in range(1, bins)]
-    medians = {c: q[0] for c, q in exact_quantiles(df, columns, [0.5], config).items()}
+    present_rows = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_number(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    holed = [c for i, c in enumerate(columns) if present_rows[f"c{i}"] < present_rows["n"]]
+    medians = {c: None for c in columns} | {c: q[0] for c, q in exact_quantiles(df, holed, [0.5], config).items()}
     target_text = present(col(target), dtype_of(df, target)).cast("string")
     filled = df.select(target_text.alias("_class"), *[
         F.coalesce(_number(df, c), F.lit(medians[c])).alias(c) for c in columns]).filter(F.col("_class").isNotNull())
-    edges = exact_quantiles(filled, columns, probs[1:], config)
+    edges = exact_quantiles(filled, columns, [i / bins for i in range(1, bins)], config)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), reduce(
         lambda a, b: a + b, [(col(c) > F.lit(e)).cast("int") for e in edges[c]]).alias("bin")) for c in columns])
     joint = (filled.select(F.explode(cells).alias("p"), "_class")

@@ -7,13 +7,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, keyword_only
+from pyspark import SparkContext, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasSeed
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -312,6 +312,29 @@ class AdaptiveBoostingModel(Model, _BoostParams, MLReadable, MLWritable):
         return _TreesReader(cls)
 
 
+def first_rounds(model: Model, rounds: int) -> Model:
+    """The boosted model that a fit of so many rounds would have given: later rounds never change earlier ones."""
+    if isinstance(model, AdaptiveBoostingModel):
+        short = AdaptiveBoostingModel(model.trees[:rounds])
+        model._copyValues(short)
+        return short._set(treeWeights=model.getOrDefault("treeWeights")[:rounds])
+    if not isinstance(model, (GBTClassificationModel, GBTRegressionModel)):
+        raise TypeError(f"{type(model).__name__} is not built round by round")
+    java = model._java_obj
+    sc = SparkContext._active_spark_context
+    kept = min(rounds, len(java.trees()))
+    base = sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = sc._gateway.new_array(base, kept), sc._gateway.new_array(sc._jvm.double, kept)
+    for i in range(kept):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    package = sc._jvm.org.apache.spark.ml
+    if isinstance(model, GBTClassificationModel):
+        short = GBTClassificationModel(package.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), 2))
+    else:
+        short = GBTRegressionModel(package.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
+    return model._copyValues(short)
+
+
 class _TreesWriter(MLWriter):
     def __init__(self, instance: AdaptiveBoostingModel):
         super().__init__()
