@@ -5,7 +5,9 @@ hash of the next OVERLAP tokens says so, so equal passages are cut alike. A chun
 runs OVERLAP tokens into its successor. Distinct chunks and their frequencies are
 the dictionary; phrases are counted in each distinct chunk once, times its
 frequency, and only those that start before the overlap, which assigns each
-occurrence to one chunk. A phrase is counted only if its parts may be frequent.
+occurrence to one chunk. A phrase is counted only if its parts may be frequent:
+words are counted first, then pairs of frequent words by hash, then whatever
+consists of such pairs, with its text.
 """
 
 from __future__ import annotations
@@ -121,105 +123,122 @@ def _lang_hashes(langs: np.ndarray) -> np.ndarray:
     return tokens(data)[2][which]
 
 
-def count_block(lang: np.ndarray, parts: list[bytes], freq: np.ndarray, sizes: list[int], known: np.ndarray | None,
-                known_size: int) -> pd.DataFrame | None:
-    """Weighted counts of the phrases of ``sizes`` words that start in these chunks before the overlap.
-
-    ``known`` is the bit filter of frequent phrases of ``known_size`` words of a
-    language: a phrase is counted only if all its parts of that size are in it.
-    """
-    data = b"\n".join(parts) + b"\n"
-    start, stop, name, mark = tokens(data)
-    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-    cuts = np.concatenate([[0], np.searchsorted(start, ends)])
-    owner = np.repeat(np.arange(len(parts)), np.diff(cuts))
-    begins = np.arange(len(start)) < (cuts[1:] - OVERLAP)[owner]
-    spoken = _lang_hashes(lang)[owner]
-    word = ~mark
-    frequent = None
-    if known is not None:
-        key = _keyed(gram_hash(name, known_size), spoken[:len(name) - known_size + 1])
-        frequent = np.zeros(len(name), bool)
-        frequent[:len(key)] = _held(known, key)
-    out = []
-    for size in sizes:
-        n = len(name) - size + 1
-        if n <= 0:
-            continue
-        good = begins[:n].copy()
+class _Block:
+    """Chunks of a task in one buffer, with their tokens and the places where phrases may start."""
+
+    def __init__(self, lang: list, parts: list[bytes], freq: list[int]):
+        self.lang, self.freq = np.array(lang, object), np.array(freq, np.int64)
+        self.data = b"\n".join(parts) + b"\n"
+        self.start, self.stop, self.name, mark = tokens(self.data)
+        ends = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
+        cuts = np.concatenate([[0], np.searchsorted(self.start, ends)])
+        self.owner = np.repeat(np.arange(len(parts)), np.diff(cuts))
+        self.begins = np.arange(len(self.start)) < (cuts[1:] - OVERLAP)[self.owner]
+        self.spoken = _lang_hashes(self.lang)[self.owner]
+        self.word = ~mark
+
+    def keys(self, size: int) -> np.ndarray:
+        """Hash of language and phrase at each place."""
+        n = max(len(self.name) - size + 1, 0)
+        return _keyed(gram_hash(self.name, size), self.spoken[:n])
+
+    def grams(self, size: int, known: np.ndarray | None, known_size: int):
+        """Distinct phrases of ``size`` words that start before the overlap: a place of each, key and weighted count.
+
+        ``known`` is the bit filter of frequent phrases of ``known_size`` words: a phrase is
+        counted only if all its parts of that size are in it.
+        """
+        n = max(len(self.name) - size + 1, 0)
+        good = self.begins[:n].copy()
         for k in range(size):
-            good &= word[k:n + k]
-        if frequent is not None:
+            good &= self.word[k:n + k]
+        if known is not None:
+            held = _held(known, self.keys(known_size))
             for k in range(size - known_size + 1):
-                good &= frequent[k:n + k]
+                good &= held[k:n + k]
         at = np.flatnonzero(good)
-        if not len(at):
-            continue
-        key = _keyed(gram_hash(name, size)[at], spoken[at])
-        _, first, group = np.unique(key, return_index=True, return_inverse=True)
+        key, first, group = np.unique(self.keys(size)[at], return_index=True, return_inverse=True)
         total = np.zeros(len(first), np.int64)
-        np.add.at(total, group, freq[owner[at]])
-        at = at[first]
-        a, b = start[at].tolist(), stop[at + size - 1].tolist()
-        out.append(pd.DataFrame({"lang": lang[owner[at]], "phrase": [data[x:y] for x, y in zip(a, b)], "words": size, "a": total}))
-    return pd.concat(out) if out else None
+        np.add.at(total, group, self.freq[self.owner[at]])
+        return at[first], key, total
+
+    def texts(self, at: np.ndarray, size: int) -> list[bytes]:
+        return [self.data[x:y] for x, y in zip(self.start[at].tolist(), self.stop[at + size - 1].tolist())]
+
+
+def _blocks(batches, size: int):
+    lang, parts, freq, held = [], [], [], 0
+    for b in batches:
+        for row in zip(b["lang"], b["chunk"], b["freq"]):
+            lang.append(row[0]), parts.append(row[1]), freq.append(row[2])
+            held += len(row[1])
+            if held >= size:
+                yield _Block(lang, parts, freq)
+                lang, parts, freq, held = [], [], [], 0
+    if parts:
+        yield _Block(lang, parts, freq)
 
 
 def phrase_counts(chunks_: DataFrame, sizes: list[int], known: np.ndarray | None, known_size: int, block: int = BLOCK) -> DataFrame:
     """(lang, phrase, words, a): occurrences of the phrases of these sizes in the corpus."""
-    held_bits = None if known is None else chunks_.sparkSession.sparkContext.broadcast(known)
+    shared = None if known is None else chunks_.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        bits = None if held_bits is None else held_bits.value
-        lang, parts, freq, held = [], [], [], 0
-        for b in batches:
-            for row in zip(b["lang"], b["chunk"], b["freq"]):
-                lang.append(row[0]), parts.append(row[1]), freq.append(row[2])
-                held += len(row[1])
-                if held >= block:
-                    out = count_block(np.array(lang, object), parts, np.array(freq, np.int64), sizes, bits, known_size)
-                    if out is not None:
-                        yield out
-                    lang, parts, freq, held = [], [], [], 0
-        if parts:
-            out = count_block(np.array(lang, object), parts, np.array(freq, np.int64), sizes, bits, known_size)
-            if out is not None:
-                yield out
+        for x in _blocks(batches, block):
+            for size in sizes:
+                at, _, total = x.grams(size, None if shared is None else shared.value, known_size)
+                if len(at):
+                    yield pd.DataFrame({"lang": x.lang[x.owner[at]], "phrase": x.texts(at, size), "words": size, "a": total})
 
     rows = chunks_.mapInPandas(run, "lang string, phrase binary, words int, a long")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
 
 
+def hash_counts(chunks_: DataFrame, size: int, known: np.ndarray, known_size: int, block: int = BLOCK) -> DataFrame:
+    """(key, a): occurrences of the phrases of one size by their hash, a quarter of the bytes of their texts.
+
+    Phrases with equal hashes are counted together, so none is counted too low.
+    """
+    shared = chunks_.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for x in _blocks(batches, block):
+            _, key, total = x.grams(size, shared.value, known_size)
+            if len(key):
+                yield pd.DataFrame({"key": key.view(np.int64), "a": total})
+
+    return chunks_.mapInPandas(run, "key long, a long").groupBy("key").agg(F.sum("a").alias("a"))
+
+
 def _held(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    place = key % np.uint64(len(bits) * 64)
+    place = key & np.uint64(len(bits) * 64 - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def phrase_filter(phrases: DataFrame, size: int, log_bits: int = FILTER_BITS) -> np.ndarray:
-    """The bits of all phrases of ``size`` words in ``phrases`` (lang, phrase).
-
-    Of fixed length, so that it can be sent everywhere; a phrase that isn't in it
-    is not frequent, one that is may be.
-    """
+def _bits(keys: DataFrame, log_bits: int) -> np.ndarray:
+    """The bit filter of the column ``key``; of fixed length, so that it can be sent everywhere."""
     words = 1 << (log_bits - 6)
+    place = F.col("key").bitwiseAND(F.lit((1 << log_bits) - 1))
+    rows = (keys.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())  # at most 2 ** (log_bits - 6) rows
+    bits = np.zeros(words, np.uint64)
+    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
 
+def phrase_filter(phrases: DataFrame, size: int, log_bits: int = FILTER_BITS) -> np.ndarray:
+    """The bits of all phrases of ``size`` words in ``phrases`` (lang, phrase): what isn't in it isn't frequent, what is may be."""
     def run(batches):
         for b in batches:
             if len(b):
-                data = b"\n".join(b["phrase"]) + b"\n"
-                name = tokens(data)[2].reshape(len(b), size)
+                name = tokens(b"\n".join(b["phrase"]) + b"\n")[2].reshape(len(b), size)
                 gram = np.zeros(len(b), np.uint64)
                 for k in range(size):
                     gram = gram * _BASE + name[:, k]
-                place = _keyed(_mix(gram + np.uint64(size)), _lang_hashes(b["lang"].to_numpy())) % np.uint64(words * 64)
-                yield pd.DataFrame({"word": (place >> np.uint64(6)).astype(np.int64),
-                                    "bit": (np.uint64(1) << (place & np.uint64(63))).view(np.int64)})
+                key = _keyed(_mix(gram + np.uint64(size)), _lang_hashes(b["lang"].to_numpy()))
+                yield pd.DataFrame({"key": key.view(np.int64)})
 
-    rows = (phrases.select("lang", "phrase").mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-            .toPandas())  # at most 2 ** (log_bits - 6) rows
-    bits = np.zeros(words, np.uint64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
+    return _bits(phrases.select("lang", "phrase").mapInPandas(run, "key long"), log_bits)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, cut: int = CUT, longest: int = CHUNK, block: int = BLOCK,
@@ -230,10 +249,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, cut: int = CUT, longes
     total = words.groupBy("lang").agg(F.sum("a").alias("n"))
     found = words.where(F.col("a") >= least)
     known = phrase_filter(found, 1, log_bits)
-    pairs = stored(phrase_counts(parse, [2], known, 1, block).where(F.col("a") >= least), "pairs")
-    known = phrase_filter(pairs, 2, log_bits)
-    more = stored(phrase_counts(parse, list(range(3, LONGEST + 1)), known, 2, block).where(F.col("a") >= least), "phrases")
-    return total, found.union(pairs).union(more)
+    pairs = stored(hash_counts(parse, 2, known, 1, block).where(F.col("a") >= least).select("key"), "pairs")
+    known = _bits(pairs, log_bits)
+    more = stored(phrase_counts(parse, list(range(2, LONGEST + 1)), known, 2, block).where(F.col("a") >= least), "phrases")
+    return total, found.union(more)
 
 
 def _part(first: Column, count: Column) -> Column:
