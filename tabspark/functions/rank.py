@@ -201,14 +201,17 @@ def position_cuts(df: DataFrame, group: Column, position: Column, hex_digits: in
 
 
 def running_before(df: DataFrame, groups: list[str], order: str, value: str, out: str,
-                   bins: int = 1000) -> DataFrame:
+                   rows: int | None = None) -> DataFrame:
     """Sum of ``value`` over the rows of a group with a smaller ``order``.
 
     ``df`` holds one row per (groups, order). The order column is cut into
-    quantile bins; bin totals give the offset, and a window inside each bin
-    gives the rest, so no task sees more than one bin.
+    quantile bins of about ``rows`` rows, as many as their counted number asks
+    for; bin totals give the offset, and a window inside each bin gives the rest,
+    so no task sees more than one bin.
     """
-    found = df.stat.approxQuantile(order, [i / bins for i in range(1, bins)], 1.0 / (2 * bins))
+    rows = rows or EngineConfig().rank_bucket_rows
+    bins = -(-df.count() // rows)
+    found = df.stat.approxQuantile(order, [i / bins for i in range(1, bins)], 1.0 / (4 * bins)) if bins > 1 else []
     splits = sorted({x for x in found if math.isfinite(x)})
     edges = [float("-inf"), *splits, float("inf")]
     binned = Bucketizer(splits=edges, inputCol=order, outputCol="_bin").transform(df) \

@@ -318,6 +318,8 @@ def first_rounds(model: Model, rounds: int) -> Model:
         short = AdaptiveBoostingModel(model.trees[:rounds])
         model._copyValues(short)
         return short._set(treeWeights=model.getOrDefault("treeWeights")[:rounds])
+    if hasattr(model, "first_rounds"):
+        return model.first_rounds(rounds)
     if not isinstance(model, (GBTClassificationModel, GBTRegressionModel)):
         raise TypeError(f"{type(model).__name__} is not built round by round")
     java = model._java_obj

@@ -13,13 +13,45 @@ from tabspark.operators.valuecounts import distinct_counts
 CLF, REG = "classification", "regression"
 
 
-def target_profile(df: DataFrame, targets: list[str]) -> DataFrame:
+# Size (as a power of two) and error of a sketch of distinct values; it settles a count that is so many errors away from
+# every limit, and not a small one.
+_SKETCH_SIZE, _SKETCH, _ERRORS, _SMALL = 14, 0.01, 6, 1_000
+
+
+def _settled_counts(df: DataFrame, targets: list[str], config: EngineConfig) -> dict[str, int]:
+    """About how many distinct values a target has, where every rule decides the same anywhere near that number.
+
+    One pass with mergeable sketches. Targets near a limit of a rule, or with few
+    values, are left out: they have to be counted, which is cheap for few values.
+    """
+    limits = (config.unique_ratio_threshold, 0.3, 0.5, 0.8)
+    aggs = []
+    for i, t in enumerate(targets):
+        v = present(col(t), dtype_of(df, t))
+        sketch = F.hll_sketch_agg(F.when(v.isNotNull(), F.xxhash64(v)), F.lit(_SKETCH_SIZE))
+        aggs += [F.count(v).alias(f"n{i}"), F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).alias(f"u{i}")]
+    row, out = df.agg(*aggs).first(), {}
+    for i, t in enumerate(targets):
+        n, u = row[f"n{i}"], row[f"u{i}"]
+        low, high = u / (1 + _ERRORS * _SKETCH), u / (1 - _ERRORS * _SKETCH)
+        if low > max(_SMALL, config.max_unique_for_classification) and all(low > x * n or high < x * n for x in limits):
+            out[t] = min(u, n)
+    return out
+
+
+def target_profile(df: DataFrame, targets: list[str], settled: dict[str, int] | None = None) -> DataFrame:
     """One row per target: n, n_present, n_unique, type family, zero-one flag.
 
     An integer column with missing values counts as floating point, and a
     boolean one as text, because that is how a single missing marker types them.
+    n_unique is exact but for the targets in ``settled``.
     """
-    distinct = distinct_counts(normalise(df, targets), targets)
+    settled = settled or {}
+    rest = [t for t in targets if t not in settled]
+    distinct = df.sparkSession.createDataFrame(list(settled.items()), "column string, n_unique long")
+    if rest:
+        exact = distinct_counts(normalise(df, rest), rest).select("column", "n_unique")
+        distinct = distinct.union(exact) if settled else exact
     aggs, rows = [F.count(F.lit(1)).alias("n")], []
     for i, t in enumerate(targets):
         dt = dtype_of(df, t)
@@ -85,11 +117,11 @@ def _votes_cast(config: EngineConfig) -> Column:
 
 def detect_rules(df: DataFrame, targets: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
     """(column, rule, task, confidence) for every rule that votes."""
-    return (target_profile(df, targets).select("column", F.explode(_votes_cast(config)).alias("v"))
+    return (target_profile(df, targets, _settled_counts(df, targets, config)).select("column", F.explode(_votes_cast(config)).alias("v"))
             .select("column", "v.rule", "v.vote.task", "v.vote.confidence"))
 
 
-def _with_verdict(df: DataFrame, targets: list[str], config: EngineConfig) -> DataFrame:
+def _with_verdict(df: DataFrame, targets: list[str], config: EngineConfig, settled: dict[str, int] | None = None) -> DataFrame:
     """Adds task and confidence: the greater sum decides, the winner's mean is the confidence."""
     def tally(task: str) -> Column:
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
@@ -99,7 +131,7 @@ def _with_verdict(df: DataFrame, targets: list[str], config: EngineConfig) -> Da
 
     clf, reg = F.col("_clf"), F.col("_reg")
     wins = clf["sum"] > reg["sum"]
-    return (target_profile(df, targets).select("*", _votes_cast(config).alias("votes"))
+    return (target_profile(df, targets, settled).select("*", _votes_cast(config).alias("votes"))
             .select("*", tally(CLF).alias("_clf"), tally(REG).alias("_reg"))
             .select("*", F.when(wins, CLF).otherwise(REG).alias("task"),
                     F.when(wins, clf["sum"] / clf["n"]).otherwise(reg["sum"] / reg["n"]).alias("confidence")))
@@ -115,7 +147,7 @@ def detect_task(df: DataFrame, targets: list[str], override: str | None = None,
         return (df.limit(0).agg(F.count(F.lit(1))).select(names)
                 .select("column", F.lit(override).alias("task"), F.lit(1.0).alias("confidence"),
                         F.lit(False).alias("needs_review")))
-    return (_with_verdict(df, targets, config).select("column", "task", "confidence")
+    return (_with_verdict(df, targets, config, _settled_counts(df, targets, config)).select("column", "task", "confidence")
             .withColumn("needs_review", F.col("confidence") < 0.70))
 
 

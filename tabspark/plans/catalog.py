@@ -19,6 +19,8 @@ from pyspark.ml.regression import (
 
 from tabspark.config import EngineConfig
 from tabspark.operators.learners import AdaptiveBoosting, NearestNeighbours
+from tabspark.operators.softmax_boosting import SoftmaxBoosting
+from tabspark.operators.trees import SplitLimit
 
 MAX_DEPTH = 30  # deepest tree Spark ML accepts
 
@@ -46,7 +48,8 @@ class ModelSpec:
 
     def estimator(self, params: dict | None, stats: TrainStats, seed: int = 42) -> Estimator:
         merged = {**self.defaults, **(params or {})}
-        unused = sorted(set(self.ignored) & set(params or {}))
+        together = self.build is _gbt_clf and stats.n_classes > 2  # that booster knows all settings
+        unused = [] if together else sorted(set(self.ignored) & set(params or {}))
         if unused:
             warnings.warn(f"{self.name}: no Spark ML counterpart for {unused}; ignored", stacklevel=2)
         return self.build(merged, stats, seed)
@@ -64,6 +67,12 @@ def _tree(p: dict) -> dict:
     return dict(maxDepth=_depth(p), minInstancesPerNode=p.get("min_samples_leaf", 1), maxBins=64)
 
 
+def _held(tree: Estimator, p: dict) -> Estimator:
+    """Spark's trees know no least number of rows to split: splits of fewer are undone after the fit."""
+    least = int(p.get("min_samples_split") or 2)
+    return SplitLimit(tree, least) if least > 2 else tree
+
+
 def _subset(p: dict, default: str) -> str:
     return p.get("max_features") or default
 
@@ -74,13 +83,13 @@ def _logistic(p, s, seed):
 
 
 def _forest_clf(p, s, seed):
-    return RandomForestClassifier(numTrees=p["n_estimators"], seed=seed, bootstrap=p.get("bootstrap", True),
-                                  featureSubsetStrategy=_subset(p, "sqrt"), **_tree(p))
+    return _held(RandomForestClassifier(numTrees=p["n_estimators"], seed=seed, bootstrap=p.get("bootstrap", True),
+                                        featureSubsetStrategy=_subset(p, "sqrt"), **_tree(p)), p)
 
 
 def _forest_reg(p, s, seed):
-    return RandomForestRegressor(numTrees=p["n_estimators"], seed=seed, featureSubsetStrategy=_subset(p, "all"),
-                                 **_tree(p))
+    return _held(RandomForestRegressor(numTrees=p["n_estimators"], seed=seed, featureSubsetStrategy=_subset(p, "all"),
+                                       **_tree(p)), p)
 
 
 def _gbt_common(p, seed):
@@ -89,8 +98,11 @@ def _gbt_common(p, seed):
 
 
 def _gbt_clf(p, s, seed):
-    one = GBTClassifier(**_gbt_common(p, seed))
-    return one if s.n_classes <= 2 else OneVsRest(classifier=one)
+    if s.n_classes <= 2:
+        return GBTClassifier(**_gbt_common(p, seed))
+    return SoftmaxBoosting(rounds=p["n_estimators"], learningRate=p["learning_rate"], maxDepth=_depth(p), seed=seed,
+                           minLeaf=p.get("min_samples_leaf", 1), minSplit=p.get("min_samples_split", 2),
+                           subsample=p.get("subsample", 1.0), maxFeatures=_subset(p, "all"))
 
 
 def _svm(p, s, seed):
@@ -138,7 +150,7 @@ _SPECS = [
               {"n_estimators": 100, "max_depth": 10, "min_samples_split": 10, "min_samples_leaf": 4},
               {"n_estimators": [50, 100, 150], "max_depth": [5, 10, 15], "min_samples_split": [10, 20, 30],
                "min_samples_leaf": [4, 8, 12], "max_features": ["sqrt", "log2"], "bootstrap": [True]},
-              "medium", ignored=("min_samples_split",)),
+              "medium"),
     ModelSpec("Gradient Boosting", "classification", _gbt_clf,
               {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
               {"n_estimators": [50, 100], "learning_rate": [0.01, 0.05, 0.1], "max_depth": [3, 4, 5],
@@ -146,11 +158,11 @@ _SPECS = [
                "max_features": ["sqrt", "log2"]},
               "slow", ignored=("min_samples_split",)),
     ModelSpec("Decision Tree", "classification",
-              lambda p, s, seed: DecisionTreeClassifier(seed=seed, **_tree(p)),
+              lambda p, s, seed: _held(DecisionTreeClassifier(seed=seed, **_tree(p)), p),
               {"max_depth": 10, "min_samples_split": 2, "min_samples_leaf": 1},
               {"max_depth": [5, 10, 15, 20, None], "min_samples_split": [2, 5, 10, 20],
                "min_samples_leaf": [1, 2, 4, 8], "max_features": ["sqrt", "log2", None]},
-              "fast", interpretable=True, ignored=("min_samples_split", "max_features")),
+              "fast", interpretable=True, ignored=("max_features",)),
     ModelSpec("K-Nearest Neighbors", "classification", _knn("classification"), {"n_neighbors": 5},
               {"n_neighbors": [3, 5, 7, 9, 11, 15], "weights": ["uniform", "distance"],
                "metric": ["euclidean", "manhattan", "minkowski"]},
@@ -170,14 +182,14 @@ _SPECS = [
               {"alpha": 1.0, "l1_ratio": 0.5},
               {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0], "l1_ratio": [0.1, 0.3, 0.5, 0.7, 0.9]},
               "fast", needs_scaling=True, interpretable=True),
-    ModelSpec("Decision Tree", "regression", lambda p, s, seed: DecisionTreeRegressor(seed=seed, **_tree(p)),
+    ModelSpec("Decision Tree", "regression", lambda p, s, seed: _held(DecisionTreeRegressor(seed=seed, **_tree(p)), p),
               {"max_depth": 10, "min_samples_split": 2},
               {"max_depth": [5, 10, 15, 20, None], "min_samples_split": [2, 5, 10, 20], "min_samples_leaf": [1, 2, 4, 8]},
-              "fast", interpretable=True, ignored=("min_samples_split",)),
+              "fast", interpretable=True),
     ModelSpec("Random Forest", "regression", _forest_reg, {"n_estimators": 100, "max_depth": None},
               {"n_estimators": [100, 200, 300, 500], "max_depth": [None, 10, 20, 30, 40],
                "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4], "max_features": ["sqrt", "log2"]},
-              "medium", ignored=("min_samples_split",)),
+              "medium"),
     ModelSpec("Gradient Boosting", "regression", lambda p, s, seed: GBTRegressor(**_gbt_common(p, seed)),
               {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
               {"n_estimators": [100, 200, 300], "learning_rate": [0.01, 0.05, 0.1, 0.2], "max_depth": [3, 4, 5, 6],

@@ -334,6 +334,21 @@ def multicollinear(spark, d):
     return eda.multicollinear(derived(spark, d, "lineitem", _DERIVED_CORR), _DC)
 
 
+# twenty columns, most of them with missing values
+_WIDE = [f"CASE WHEN (l_orderkey + l_linenumber * {i + 3}) % {i + 4} = 0 THEN NULL ELSE {c} * {1 + i % 3} + {d} * l_linenumber END AS w{i}"
+         for i, (c, d) in enumerate((c, d) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") for d in (0, 1, 2, 5, 9))]
+_WIDE_SQL = f"SELECT {', '.join(_WIDE)} FROM lineitem"
+
+
+@query("corr_matrix_wide", f"""
+WITH t AS ({_WIDE_SQL}), p AS ({_pairs_sql([f'w{i}' for i in range(20)], 't')})
+SELECT column_a, column_b, {r('r', 'r', 5)} FROM p UNION ALL SELECT column_b, column_a, {r('r', 'r', 5)} FROM p
+UNION ALL SELECT c, c, 1.0 FROM (SELECT unnest([{', '.join(f"'w{i}'" for i in range(20))}]) AS c)""")
+def corr_matrix_wide(spark, d):
+    """190 pairs, each over the rows where both are present: one scan."""
+    return rounded(eda.correlation_matrix(derived(spark, d, "lineitem", _WIDE)), 5)
+
+
 @query("class_distribution", f"""
 WITH t AS ({LINES_SQL})
 SELECT l_returnflag AS class, count(*) AS n, {r('count(*) * 100.0 / (SELECT count(l_returnflag) FROM t)', 'pct')}
@@ -387,7 +402,47 @@ def target_correlation(spark, d):
     return rounded(eda.target_correlation(lines(spark, d), cols, "l_extendedprice"))
 
 
-@query("eda_report")
+_REPORT_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "one"]
+_REPORT_TEXTS = ["l_returnflag", "l_linestatus", "discounted"]
+_REPORT_COLUMNS = [*_REPORT_NUMBERS, *_REPORT_TEXTS, "l_shipdate"]
+
+
+def _report_sql() -> str:
+    """Row counts of the sections, from the columns, the rows and the classes."""
+    def section(task: str, name: str, n: str) -> str:
+        return f"SELECT '{task}' AS task, '{name}' AS section, CAST({n} AS BIGINT) AS n_rows"
+
+    def total(parts: list[str]) -> str:
+        return "(SELECT " + " + ".join(parts) + " FROM t)"
+
+    parts = []
+    for task, target in (("classification", "l_returnflag"), ("regression", "l_extendedprice")):
+        numbers = [c for c in _REPORT_NUMBERS if c != target]
+        texts = [c for c in _REPORT_TEXTS if c != target]
+        columns = [c for c in _REPORT_COLUMNS if c != target]
+        some = [f"CASE WHEN count({c}) > 0 THEN 1 ELSE 0 END" for c in numbers]
+        varied = total([f"CASE WHEN var_pop({c}) > 0 THEN 1 ELSE 0 END" for c in numbers])
+        reach = lambda c: f"1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"
+        far = [f"CASE WHEN max({c}) > quantile_cont({c}, 0.75) + {reach(c)} OR min({c}) < quantile_cont({c}, 0.25) - {reach(c)} THEN 1 ELSE 0 END"
+               for c in numbers]
+        parts += [
+            section(task, "missing", str(len(columns))),
+            section(task, "missing_severity", total([f"CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END" for c in columns])),
+            section(task, "histograms", f"30 * {total(some)}"), section(task, "centers", str(len(numbers))),
+            section(task, "outliers", total(far)), section(task, "correlation", str(len(numbers) ** 2)),
+            section(task, "top_pairs", f"least(20, {varied} * ({varied} - 1) // 2)"),
+            section(task, "top_categories", total([f"least(10, count(DISTINCT {c}))" for c in texts]))]
+        if task == "classification":
+            parts += [section(task, "class_distribution", f"(SELECT count(DISTINCT {target}) FROM t)"),
+                      section(task, "class_statistics", "1"), section(task, "mutual_information", f"least(10, {len(numbers)})")]
+        else:
+            parts += [section(task, "target_histogram", "50"), section(task, "target_statistics", "1"),
+                      section(task, "target_density", f"(SELECT CASE WHEN count({target}) > 10 AND var_pop({target}) > 0 THEN 1000 ELSE 0 END FROM t)"),
+                      section(task, "target_correlation", f"least(10, {varied})")]
+    return f"WITH t AS ({LINES_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("eda_report", _report_sql())
 def eda_report(spark, d):
     """Row counts of every exploratory table of whole order lines, for a target of either kind."""
     df = lines(spark, d)

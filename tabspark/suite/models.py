@@ -359,7 +359,7 @@ SELECT CAST(target AS DOUBLE) AS amount, CAST(target AS DOUBLE) AS estimate, cou
         _estimated(_name))
 
 
-# three classes by thresholds, one-against-the-rest boosting
+# three classes by thresholds, boosted together
 _CLASS3_TABLE = ["p_partkey", "p_size", "p_retailprice", "CASE WHEN p_size <= 17 THEN 0 WHEN p_size <= 34 THEN 1 ELSE 2 END AS target"]
 
 
@@ -367,7 +367,7 @@ _CLASS3_TABLE = ["p_partkey", "p_size", "p_retailprice", "CASE WHEN p_size <= 17
 SELECT CAST(target AS BIGINT) AS label, CAST(target AS BIGINT) AS prediction, count(*) AS n FROM parts WHERE split = 'test' GROUP BY 1, 2""")
 def clf_gbt_multiclass(spark, d):
     flow = _flow(spark, d, _CLASS3_TABLE, ["p_size", "p_retailprice"], "classification")
-    flow.train_models(["Gradient Boosting"], run_cv=False, params={"Gradient Boosting": {"n_estimators": 20}})
+    flow.train_models(["Gradient Boosting"], run_cv=False)
     scored = flow.trained["Gradient Boosting"].model.transform(flow.test)
     out = m.confusion(scored, tr.LABEL, "prediction").select(
         F.col("label").cast("long").alias("label"), F.col("prediction").cast("long").alias("prediction"), "n")
