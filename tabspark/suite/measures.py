@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabspark.operators import eda, metrics as m, split as sp
+from tabspark.operators import eda, information, metrics as m, split as sp
 from tabspark.plans import training as tr
 from tabspark.suite.features import _split_cte
 from tabspark.suite.registry import (
@@ -384,6 +384,33 @@ def mutual_information(spark, d):
     return rounded(eda.mutual_information(lines(spark, d), _MI, "l_returnflag"), {"mi": 8})
 
 
+_NEAR_MI = ["p_retailprice", "p_size", "p_partkey"]
+
+
+def _near_mi_sql() -> str:
+    """The estimator over all pairs of rows; digamma of a whole number is a sum of reciprocals."""
+    parts = []
+    for c in _NEAR_MI:
+        parts.append(f"""
+f_{c} AS (SELECT row_number() OVER () AS id, p_type AS c, CAST(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM t)) AS DOUBLE) AS x FROM t WHERE p_type IS NOT NULL),
+g_{c} AS (SELECT c, count(*) AS nc FROM f_{c} GROUP BY c HAVING count(*) > 1),
+r_{c} AS (SELECT a.id, any_value(a.x) AS x, any_value(g.nc) AS nc, list_sort(list(abs(a.x - b.x)))[CAST(least(3, any_value(g.nc) - 1) + 1 AS BIGINT)] AS r
+         FROM f_{c} a JOIN g_{c} g ON a.c = g.c JOIN f_{c} b ON a.c = b.c GROUP BY a.id),
+m_{c} AS (SELECT r.id, any_value(r.nc) AS nc, count(*) AS m FROM r_{c} r JOIN (SELECT x FROM f_{c} WHERE c IN (SELECT c FROM g_{c})) b
+         ON abs(b.x - r.x) < r.r OR b.x = r.x GROUP BY r.id),
+i_{c} AS (SELECT '{c}' AS "column", greatest(0.0, (SELECT psi FROM h WHERE i = (SELECT sum(nc) FROM g_{c})) + avg(k.psi) - avg(n.psi) - avg(q.psi)) AS mi
+         FROM m_{c} m JOIN h k ON k.i = least(3, m.nc - 1) JOIN h n ON n.i = m.nc JOIN h q ON q.i = m.m)""")
+    return f"""WITH t AS ({PARTS_SQL}),
+h AS (SELECT i, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS psi
+      FROM (SELECT unnest(range(1, (SELECT count(*) + 2 FROM t))) AS i)),{', '.join(parts)}
+SELECT "column", {r('mi', 'mi', 8)} FROM ({' UNION ALL '.join(f'SELECT * FROM i_{c}' for c in _NEAR_MI)}) ORDER BY mi DESC"""
+
+
+@query("mutual_information_knn", _near_mi_sql())
+def mutual_information_knn(spark, d):
+    return rounded(information.mutual_information_knn(parts(spark, d), _NEAR_MI, "p_type"), {"mi": 8})
+
+
 @query("target_statistics", f"""
 SELECT count(value) AS count, {r('avg(value)', 'mean', 5)}, {r('quantile_cont(value, 0.5)', 'median')}, {r('stddev_samp(value)', 'std', 5)},
   {r('min(value)', 'min')}, {r('quantile_cont(value, 0.25)', 'q25')}, {r('quantile_cont(value, 0.75)', 'q75')}, {r('max(value)', 'max')},
