@@ -69,6 +69,25 @@ def join_by_count(rows: DataFrame, counts: DataFrame, keys: list[str], total: in
     return quick.select(*names).union(slow.select(*names))
 
 
+def join_salted(rows: DataFrame, counts: DataFrame, keys: list[str], total: int, hot: int, salts: int = 64) -> DataFrame:
+    """As ``join_by_count``, for rows that are costly to compute: they are computed once.
+
+    The rows of a hot key are spread over ``salts`` partitions by a hash of the
+    whole row, and its row of ``counts`` is repeated for each.
+    """
+    key = F.xxhash64(*keys)
+    often = [r[0] for r in counts.where(F.col("n") * hot >= total).select(key).collect()] if total > hot else []
+    counts = counts.drop("n")
+    names = [*rows.columns, *[c for c in counts.columns if c not in keys]]
+    if not often:
+        return rows.join(counts, keys).select(*names)
+    is_hot = key.isin(often)
+    one = F.lit(0).cast("long")
+    rows = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(one))
+    every = F.when(is_hot, F.sequence(one, F.lit(salts - 1).cast("long"))).otherwise(F.array(one))
+    return rows.join(counts.withColumn("_salt", F.explode(every)), [*keys, "_salt"]).select(*names)
+
+
 def hashed_sample(df: DataFrame, keys: list[str], total: int, rows: int) -> DataFrame:
     """About ``rows`` (if there are so many of ``total``) rows of ``df``, by the hash of their keys."""
     share = min(1.0, 1.1 * (rows + 100) / max(total, 1))
@@ -86,30 +105,40 @@ def one_of_hot_texts(texts: DataFrame, copies: DataFrame, total: int, hot: int)
             .where(F.col("_keep").isNull() | (F.col("key") == F.col("_keep"))).drop("_keep", "key"))
 
 
-def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
+#: Edges from which nodes with many neighbours are joined apart.
+HUBS = 100_000
+
+
+def components(edges: DataFrame, a: str, b: str, name: str = "components", hubs: int = HUBS, hot: int = 1_000) -> DataFrame:
     """(node, root): the smallest node reachable over undirected edges.
 
     Alternates large-star and small-star steps until the edges are stars. Only
-    nodes with an edge appear. Each step is written to the shared folder.
+    nodes with an edge appear. Each step is written to the shared folder. Of more
+    than ``hubs`` edges those of nodes that hold one in ``hot`` are joined by
+    broadcast, so that no task gets a hub.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = stored(now, name)
-    seen = None
+    now, seen = stored(now, name), None
+
+    def with_least(rows: DataFrame, total: int) -> DataFrame:
+        low = rows.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+        return join_by_count(rows, low, ["u"], total, hot) if total > hubs else rows.join(low.drop("n"), "u")
+
     while True:
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == seen:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seen = mark
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
         # large star: larger neighbours go to the least of node and neighbours
-        large = (both.join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = (with_least(both, 2 * mark[0]).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
                  .where("u > v").distinct())
+        if mark[0] > hubs:
+            large = stored(large, name)
         # small star: smaller neighbours and the node go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(F.explode(F.array("u", "v")).alias("x"), "m")
+        small = (with_least(large, mark[0]).select(F.explode(F.array("u", "v")).alias("x"), "m")
                  .where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())
         now = stored(small, name)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
 
 
 def empty_if_missing(value):

@@ -5,7 +5,9 @@ Equal sets are one class. Linked classes share several of their rarest shingles
 large; classes that share too few with all others have no link, and the shared
 ones join the rest to candidate clusters, inside which T-occurrence search
 (DivideSkip) finds the exact links. No list of pairs is ever made: clusters hand
-on components, and large clusters are searched in blocks.
+on components. Large clusters, which shared passages chain, are clustered once
+more by an order of shingles of their own, and what stays large is searched in
+blocks.
 """
 
 from __future__ import annotations
@@ -14,15 +16,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabspark.llm.common import components, hashed_sample, join_by_count, one_of_hot_texts, stored, table, text_bytes
+from tabspark.llm.common import components, hashed_sample, join_by_count, join_salted, one_of_hot_texts, stored, table, text_bytes
 from tabspark.llm.registry import query
 from tabspark.llm.shingles import least_overlap, linked_sets, set_digest, shingle_sets
 
 #: Texts by which frequent shingles are told from rare ones, and how many are; this sets the order of
 #: shingles only, and any order gives the same links.
 SAMPLE_TEXTS, FREQUENT = 20_000, 1 << 18
-#: Classes (and shingles) of a cluster that one task searches at a time, and sets shown to every block of a larger one.
-CLUSTER_SETS, CLUSTER_SHINGLES, PIVOTS = 2_000, 2_000_000, 32
+#: Classes and shingles of a cluster that one task searches at a time (a block of a larger one has half of either), and
+#: sets of a band of lengths that are shown to every block they may be linked with.
+CLUSTER_SETS, CLUSTER_SHINGLES, PIVOTS = 4_000, 4_000_000, 32
 HOT = 1_000
 #: Rare shingles that linked classes share at least (small sets: as many as their overlap allows).
 SHARED = 32
@@ -67,7 +70,7 @@ def _candidate_edges(postings: DataFrame, percent: int, hot: int) -> DataFrame:
     lists = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
     lists = stored(lists.where("low < high").select("token", F.col("n").alias("n"), F.lit(True).alias("live")), "lists")
     total = lists.agg(F.sum("n")).first()[0] or 0
-    live = stored(join_by_count(postings, lists, ["token"], total, hot).select("token", "node", F.col("n").alias("size")).distinct(), "live")
+    live = stored(join_salted(postings, lists, ["token"], total, hot).select("token", "node", F.col("n").alias("size")).distinct(), "live")
     overlap = F.ceil(F.col("size") * percent / 100)
     need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(overlap * percent / 100) - 1))
     for _ in range(3):
@@ -86,30 +89,72 @@ def _candidate_edges(postings: DataFrame, percent: int, hot: int) -> DataFrame:
             .where("node <> low").distinct())
 
 
-def _cluster_links(size: int, percent: int):
-    """Components inside each run of rows with equal (a, b, c); rows are ordered so."""
-    def flush(rows):
-        sets = shingle_sets([r[4] for r in rows], size)
-        group = np.array([r[5] for r in rows])
-        must = np.array([r[6] for r in rows], bool)
-        roots = linked_sets(sets, percent, group, must if not must.all() else None)
-        node = np.array([r[3] for r in rows], np.int64)
+def _candidate_clusters(texts: DataFrame, size: int, percent: int, total: int, hot: int) -> DataFrame:
+    """(node, root): clusters of classes outside which nothing is linked, from ``texts`` (k1, k2, data); others have no link."""
+    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size, total))
+
+    def rare(batches):
+        for b in batches:
+            found = [s for s in shingle_sets(list(b["data"]), size) if len(s)]
+            cut = [_rarest(s, percent, frequent.value) for s in found]
+            if cut:
+                times = [len(c) for c in cut]
+                yield pd.DataFrame({"token": np.concatenate(cut).view(np.int64), "node": np.repeat([set_digest(s) for s in found], times),
+                                    "n": np.repeat([len(s) for s in found], times)})
+
+    edges = _candidate_edges(texts.mapInPandas(rare, "token long, node long, n long"), percent, hot)
+    clusters = stored(components(edges, "node", "low"), "clusters")
+    return clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _weighed(classes: DataFrame, cluster_sets: int, cluster_shingles: int, hot: int) -> DataFrame:
+    """Adds to classes (root, n, ...) whether their cluster is too large for one task."""
+    weight = classes.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
+    weight = stored(weight.select("root", ((F.col("sets") > cluster_sets) | (F.col("all") > cluster_shingles)).alias("large"),
+                                  F.col("sets").alias("n")), "weight")
+    return join_by_count(classes, weight, ["root"], classes.count(), hot)
+
+
+class _Group:
+    """The rows of one search: sets take the place of texts as soon as there are a few."""
+
+    def __init__(self, size: int, percent: int):
+        self.size, self.percent = size, percent
+        self.sets, self.texts, self.held = [], [], 0
+        self.node, self.group, self.must = [], [], []
+
+    def add(self, node, data, group, must) -> None:
+        self.node.append(node), self.group.append(group), self.must.append(must)
+        self.texts.append(data)
+        self.held += len(data)
+        if self.held >= 1_000_000:
+            self._cut()
+
+    def _cut(self) -> None:
+        self.sets += shingle_sets(self.texts, self.size)
+        self.texts, self.held = [], 0
+
+    def links(self) -> pd.DataFrame:
+        self._cut()
+        must = np.array(self.must, bool)
+        roots = linked_sets(self.sets, self.percent, np.array(self.group), must if not must.all() else None)
+        node = np.array(self.node, np.int64)
         return pd.DataFrame({"u": node, "v": node[roots]})
 
+
+def _cluster_links(size: int, percent: int):
+    """Components inside each run of rows with equal (a, b, c); rows are ordered so."""
     def run(batches):
-        rows, now, done = [], None, []
+        now, rows = None, None
         for b in batches:
-            for row in zip(*(b[c] for c in ("a", "b", "c", "node", "data", "group", "must"))):
-                if row[:3] != now:
-                    if len(rows) > 1:
-                        done.append(flush(rows))
-                    rows, now = [], row[:3]
-                rows.append(row)
-            if done:
-                yield pd.concat(done)
-                done = []
-        if len(rows) > 1:
-            yield flush(rows)
+            for key, *row in zip(zip(b["a"], b["b"], b["c"]), *(b[c] for c in ("node", "data", "group", "must"))):
+                if key != now:
+                    if rows is not None and len(rows.node) > 1:
+                        yield rows.links()
+                    now, rows = key, _Group(size, percent)
+                rows.add(*row)
+        if rows is not None and len(rows.node) > 1:
+            yield rows.links()
 
     return run
 
@@ -119,33 +164,38 @@ def _searched(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.mapInPandas(_cluster_links(size, percent), "u long, v long").where("u <> v")
 
 
-def _large_clusters(members: DataFrame, size: int, percent: int, block: int, hot: int) -> DataFrame:
+def _large_clusters(members: DataFrame, size: int, percent: int, block: int, shingles: int, hot: int) -> DataFrame:
     """Links of clusters that are too large for one task. ``members``: root, node, n, data.
 
     Sets lie in bands of length, of which only neighbours can be linked, and
-    bands in blocks. First each block is searched together with some pivots of
-    the cluster, which usually leaves one large component and a few others.
+    bands in blocks of about ``block`` sets and ``shingles`` shingles at most.
+    First each block is searched together with some pivots of its own and the
+    neighbouring bands, which usually leaves one large component and a few others.
     Then those others are searched against all blocks of their own and the
     neighbouring bands; links inside the large component add nothing.
     """
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("long")
-    members = members.select("root", "node", "data", band.alias("band"))
+    members = members.select("root", "node", "data", F.col("n").alias("size"), band.alias("band"))
     total, zero = members.count(), F.lit(0).cast("long")
+    needed = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / shingles)).cast("long")
     blocks = stored(members.groupBy("root", "band").agg(
-        F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("long").alias("blocks")), "blocks")
+        F.count("*").alias("n"), F.count("*").alias("sets"), F.sum("size").alias("all"), needed.alias("blocks")), "blocks")
     members = join_by_count(members, blocks, ["root", "band"], total, hot)
-    members = stored(members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks"), "members")
-    whole = blocks.groupBy("root").agg(F.sum("n").alias("n"), F.sum("n").alias("m"),
-                                       F.sort_array(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
-    pivots = members.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(max(1, block // PIVOTS))) == 0)
-    pivots = join_by_count(pivots, stored(whole, "clusters"), ["root"], total, hot).where(
-        F.pmod(F.xxhash64(F.lit(4), "node"), F.ceil(F.col("m") / block).cast("long")) == 0)
-    spread = (pivots.withColumn("p", F.explode("bands"))
+    # pivots are PIVOTS sets of a band, and an eighth of a block's shingles, at most as a rule
+    share = F.least(F.lit(PIVOTS) / F.col("sets"), F.lit(shingles / 8) / F.col("all"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn(
+        "pivot", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1 << 30)) < share * (1 << 30))
+    members = stored(members.drop("blocks", "sets", "all"), "members")
+    near = (blocks.withColumn("near", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+            .groupBy("root", F.col("near").alias("band"))
+            .agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("band").alias("to"), "blocks")).alias("grid")))
+    pivots = join_by_count(members.where("pivot"), stored(near, "near"), ["root", "band"], total, hot)
+    spread = (pivots.withColumn("p", F.explode("grid"))
               .withColumn("c", F.explode(F.sequence(zero, F.col("p.blocks") - 1)))
-              .where((F.col("p.band") != F.col("band")) | (F.col("c") != F.col("block"))))
+              .where((F.col("p.to") != F.col("band")) | (F.col("c") != F.col("block"))))
     own = members.select(F.col("root").alias("a"), F.col("band").alias("b"), F.col("block").alias("c"), "node", "data",
                          F.col("node").alias("group"), F.lit(True).alias("must"))
-    shown = spread.select(F.col("root").alias("a"), F.col("p.band").alias("b"), "c", "node", "data",
+    shown = spread.select(F.col("root").alias("a"), F.col("p.to").alias("b"), "c", "node", "data",
                           F.col("node").alias("group"), F.lit(True).alias("must"))
     first = stored(_searched(own.union(shown), size, percent), "links")
     part = components(first, "u", "v").select(F.col("node").alias("_node"), F.col("root").alias("_group"))
@@ -156,7 +206,7 @@ def _large_clusters(members: DataFrame, size: int, percent: int, block: int, hot
     labelled = join_by_count(labelled, stored(main, "main"), ["root"], total, hot)
     labelled = labelled.withColumn("must", F.col("group") != F.col("main")).drop("main")
     rest = labelled.where("must")
-    asking_blocks = rest.groupBy("root", "band").agg(F.ceil(F.count("*") / block).cast("long").alias("asking"))
+    asking_blocks = rest.groupBy("root", "band").agg(needed.alias("asking"))
     # for each band the blocks to ask in the neighbouring bands, and the residual blocks that ask it
     to_ask = (asking_blocks.withColumn("near", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
               .join(blocks.select("root", F.col("band").alias("near"), "blocks", "n"), ["root", "near"]))
@@ -196,44 +246,37 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int =
     copies = stored(base.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.xxhash64(doc_id)).alias("keep"),
                                                  F.min(doc_id).alias("low")), "texts")
     texts = one_of_hot_texts(base.select("k1", "k2", "data", F.xxhash64(doc_id).alias("key")), copies, total, hot)
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, size, total))
-
     def sets(batches):
         for b in batches:
             found = shingle_sets(list(b["data"]), size)
             yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n_shingles": [len(s) for s in found],
                                 "node": [set_digest(s) for s in found]})
 
-    def rare(batches):
-        for b in batches:
-            found = [s for s in shingle_sets(list(b["data"]), size) if len(s)]
-            cut = [_rarest(s, percent, frequent.value) for s in found]
-            if cut:
-                times = [len(c) for c in cut]
-                yield pd.DataFrame({"token": np.concatenate(cut).view(np.int64), "node": np.repeat([set_digest(s) for s in found], times),
-                                    "n": np.repeat([len(s) for s in found], times)})
-
     keys = stored(texts.mapInPandas(sets, "k1 long, k2 long, n_shingles long, node long").dropDuplicates(["k1", "k2"]), "sets")
-    postings = texts.mapInPandas(rare, "token long, node long, n long")
-    edges = _candidate_edges(postings, percent, hot)
-    clusters = stored(components(edges, "node", "low"), "clusters")
-    clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
+    clusters = _candidate_clusters(texts, size, percent, total, hot)
 
     # one text of each class in a cluster, with its cluster
     chosen = (keys.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("k1", "k2", "n_shingles")).alias("r"))
               .join(clusters, "node").select("r.k1", "r.k2", F.col("r.n_shingles").alias("n"), "node", "root"))
-    weight = chosen.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
-    weight = stored(weight.select("root", ((F.col("sets") > cluster_sets) | (F.col("all") > cluster_shingles)).alias("large"),
-                                  F.col("sets").alias("n")), "weight")
-    chosen = join_by_count(chosen, weight, ["root"], chosen.count(), hot)
+    chosen = _weighed(chosen, cluster_sets, cluster_shingles, hot)
     members = stored(texts.join(chosen, ["k1", "k2"]).groupBy("k1", "k2").agg(
         *[F.first(c).alias(c) for c in ("root", "node", "n", "large", "data")]).drop("k1", "k2"), "members")
-    small = members.where("NOT large").select(
+    small, large = members.where("NOT large").drop("large"), members.where("large").drop("large")
+    n_large = large.count()
+    if n_large:
+        # with an order of shingles of their own, most large clusters fall apart
+        again = _candidate_clusters(large.select(F.col("node").alias("k1"), F.col("n").alias("k2"), "data"), size, percent, n_large, hot)
+        regrouped = _weighed(large.select("node", "n").join(again, "node"), cluster_sets, cluster_shingles, hot)
+        large = stored(large.drop("root", "n").join(regrouped, "node"), "members")
+        small = small.unionByName(large.where("NOT large").drop("large"))
+        large = large.where("large").drop("large")
+        n_large = large.count()
+    alone = small.select(
         F.col("root").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "node", "data",
         F.col("node").alias("group"), F.lit(True).alias("must"))
-    links = stored(_searched(small, size, percent), "links")
-    if members.where("large").limit(1).count():
-        links = links.union(_large_clusters(members.where("large").drop("large"), size, percent, max(2, cluster_sets // 2), hot))
+    links = stored(_searched(alone, size, percent), "links")
+    if n_large:
+        links = links.union(_large_clusters(large, size, percent, max(2, cluster_sets // 2), max(2, cluster_shingles // 2), hot))
     joined = components(links, "u", "v")
 
     # smallest doc_id of each class, then of each component

@@ -98,13 +98,32 @@ class Links:
             r = up
 
 
-def linked_sets(sets: list[np.ndarray], percent: int, group: np.ndarray | None = None, must: np.ndarray | None = None,
-                divide: float = 0.01) -> np.ndarray:
+#: Cost of looking a token up in a candidate by binary search or in a bitmap, beside that of reading an entry of a list.
+SEARCH_COST, BITMAP_COST = 40.0, 0.2
+#: Bytes of the bitmaps of a cluster's longest lists.
+BITMAP_BYTES = 1 << 25
+
+
+def _split(length: np.ndarray, probe: np.ndarray, t: int, others: int) -> int:
+    """How many of a set's lists (by rising length) to probe instead of reading, the least cost being expected.
+
+    With L lists set aside, a set must be met t - L times in the others to stay a
+    candidate, which at most their entries over t - L sets can be.
+    """
+    read, asked = np.cumsum(length), np.cumsum(probe[::-1])
+    aside = np.unique(np.minimum(t - 1, (np.array([0.0, 0.25, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0]) * t).astype(np.int64)))
+    short = read[len(length) - aside - 1]
+    candidates = np.minimum(others, short // (t - aside))
+    return int(aside[np.argmin(short + candidates * np.where(aside > 0, asked[aside - 1], 0.0))])
+
+
+def linked_sets(sets: list[np.ndarray], percent: int, group: np.ndarray | None = None, must: np.ndarray | None = None) -> np.ndarray:
     """Component of each set under the links 100 * |A & B| >= percent * |A | B|.
 
     T-occurrence search by DivideSkip: of a set's inverted lists the longest are
     set aside; the short ones are merged, and who appears often enough there is
-    looked up in the long ones by binary search, which gives the exact overlap.
+    looked up in the long ones, by one binary search for all or, in the longest,
+    by their bitmaps, which gives the exact overlap.
     Sets with equal ``group`` count as linked already; with ``must``, only links
     with at least one such set are needed. Links inside a component that is
     known already are not looked for.
@@ -119,19 +138,31 @@ def linked_sets(sets: list[np.ndarray], percent: int, group: np.ndarray | None =
     if m < 2:
         return links.roots()
     order = np.argsort(size, kind="stable")
-    place = np.empty(m, np.int64)
-    place[order] = np.arange(m)
     sizes = size[order]
     needed = None if must is None else must[order]
-    token, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(place, size)
-    by = np.lexsort((owner, inverse))
-    postings = owner[by]
-    cut = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(token)))])
-    of = np.concatenate([[0], np.cumsum(size)])
-    longest = int(np.diff(cut).max(initial=1))
+    # (token, set) as one number, in order: the inverted lists, and what long ones are searched in
+    token, inverse = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    of = np.concatenate([[0], np.cumsum(sizes)])
+    postings = inverse * m
+    postings += np.repeat(np.arange(m), sizes)
+    postings.sort()
+    inverse = inverse.astype(np.int32)
+    cut = np.searchsorted(postings, np.arange(len(token) + 1) * m)
+    # the longest lists as bitmaps, one row per set
+    length = np.diff(cut)
+    wide = np.argsort(-length, kind="stable")[:BITMAP_BYTES // m]
+    wide = wide[length[wide] > m // 16]
+    column = np.full(len(token), -1, np.int32)
+    column[wide] = np.arange(len(wide))
+    bitmap = np.zeros((m, len(wide)), np.uint8)
+    for c, k in enumerate(wide.tolist()):
+        bitmap[postings[cut[k]:cut[k + 1]] - k * m, c] = 1
+    seen = np.zeros(len(token), np.int32)  # entries of each list that belong to earlier sets
+    del token, length, wide
     for r in range(m):
         n = int(sizes[r])
+        if r:
+            seen[inverse[of[r - 1]:of[r]]] += 1
         if n == 0:
             continue
         low = int(np.searchsorted(sizes[:r], least_overlap(n, percent)))
@@ -139,37 +170,43 @@ def linked_sets(sets: list[np.ndarray], percent: int, group: np.ndarray | None =
             continue
         roots = links.roots()  # in the numbering of the input
         earlier = roots[order[low:r]]
-        mine = roots[order[r]]
-        other = earlier != mine
+        other = earlier != roots[order[r]]
         if needed is not None and not needed[r]:
             other &= needed[low:r]
         if not other.any():
             continue
         # most of a cluster is usually one component: try its latest set first
-        values, counts = np.unique(earlier[other], return_counts=True)
+        values = np.unique(earlier[other])
         if len(values) == 1 and (needed is None or needed[r]):
             s = low + int(np.flatnonzero(other)[-1])
             both = len(np.intersect1d(sets[order[r]], sets[order[s]], assume_unique=True))
             if 100 * both >= percent * (n + int(sizes[s]) - both):
                 links.union(int(order[r]), int(order[s]))
                 continue
-        lists = inverse[of[order[r]]:of[order[r] + 1]]
-        length = cut[lists + 1] - cut[lists]
-        lists = lists[np.argsort(length, kind="stable")]
+        lists = inverse[of[r]:of[r + 1]].astype(np.int64)
+        length = seen[lists].astype(np.int64)
+        by = np.argsort(length, kind="stable")
+        lists, length = lists[by], length[by]
         t = least_overlap(n, percent)
-        far = min(t - 1, int(t / (divide * np.log2(longest + 1) + 1)))
+        far = _split(length, np.where(column[lists] >= 0, BITMAP_COST, SEARCH_COST), t, int(other.sum()))
         short, long = lists[:n - far], lists[n - far:]
-        merged = np.concatenate([postings[cut[k]:cut[k + 1]] for k in short])
-        merged = merged[(merged >= low) & (merged < r)]
-        count = np.bincount(merged - low, minlength=r - low)
-        found = np.flatnonzero((count >= t - far) & other)
+        # the entries of the short lists, one after the other
+        count = length[:n - far]
+        place = np.repeat(cut[short] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        merged = postings[place] - np.repeat(short * m, count)
+        met = np.bincount(merged, minlength=r)[low:r]
+        found = np.flatnonzero((met >= t - far) & other)
         if not len(found):
             continue
-        overlap = count[found]
-        for k in long:
-            whole = postings[cut[k]:cut[k + 1]]
-            at = np.minimum(np.searchsorted(whole, found + low), len(whole) - 1)
-            overlap = overlap + (whole[at] == found + low)
+        overlap = met[found]
+        direct = column[long]
+        if (direct >= 0).any():
+            overlap = overlap + bitmap[np.ix_(found + low, direct[direct >= 0])].sum(1, dtype=np.int64)
+        searched = long[direct < 0]
+        if len(searched):
+            asked = (searched[:, None] * m + (found + low)[None, :]).ravel()
+            at = np.minimum(np.searchsorted(postings, asked), len(postings) - 1)
+            overlap = overlap + (postings[at] == asked).reshape(len(searched), len(found)).sum(0)
         good = found[100 * overlap >= percent * (n + sizes[found + low] - overlap)] + low
         for s in good.tolist():
             links.union(int(order[r]), int(order[s]))
