@@ -110,7 +110,7 @@ class LinearFit:
         if mse < 2.0 ** -46 * (products[-1, -1] / n):
             mse = 0.0
         r2 = 1.0 - mse / spread if spread > 0 else float(mse == 0)
-        return {"rmse": mse ** 0.5, "r2": r2}
+        return {"rmse": float(mse) ** 0.5, "r2": float(r2)}
 
 
 def _centred(products: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

@@ -31,12 +31,11 @@ def collapsed(nodes: list[dict], least: int) -> list[dict]:
     return [n | {k: number[n[k]] for k in ("id", "leftChild", "rightChild")} for n in kept]
 
 
-def limit_splits(model: Model, least: int) -> Model:
+def limit_splits(spark: SparkSession, model: Model, least: int) -> Model:
     """The tree or forest without splits of fewer than ``least`` rows, through its saved node table.
 
     The table has one row per node, so it is as small as the model itself.
     """
-    spark = SparkSession.getActiveSession()
     path, out = scratch_path(spark, "tree"), scratch_path(spark, "tree")
     model.write().save(path)
     table = spark.read.parquet(f"{path}/data")
@@ -66,4 +65,4 @@ class SplitLimit(Estimator):
         self.inner, self.least = inner, least
 
     def _fit(self, dataset: DataFrame) -> Model:
-        return limit_splits(self.inner.fit(dataset), self.least)
+        return limit_splits(dataset.sparkSession, self.inner.fit(dataset), self.least)
