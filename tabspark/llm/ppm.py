@@ -202,7 +202,8 @@ class Counts:
 
     ``grams`` and ``n`` are every trained gram of the full order whose context
     ends in these symbols, sorted; ``low`` holds all (grams, counts) of each
-    order below ``shared``.
+    order below ``shared``, and from there on those of the contexts of which
+    ``grams`` has only some.
     """
 
     def __init__(self, order: int, shared: int, grams: np.ndarray, n: np.ndarray, low: dict):
@@ -215,7 +216,12 @@ class Counts:
                 grams, back = np.unique(grams & mask(k + 1), return_inverse=True)
                 n = np.bincount(back, n, len(grams))
             self.gram[k], self.n[k] = grams, n.astype(np.float64)
-            self.context[k], at, size = np.unique(grams >> BITS, return_index=True, return_counts=True)
+            if shared <= k < order and k in low:
+                some = np.isin(grams >> BITS, low[k][0] >> BITS)
+                own = np.concatenate([grams[~some], low[k][0]])
+                by = np.argsort(own)
+                self.gram[k], self.n[k] = own[by], np.concatenate([n[~some], low[k][1]]).astype(np.float64)[by]
+            self.context[k], at, size = np.unique(self.gram[k] >> BITS, return_index=True, return_counts=True)
             self.of[k] = np.repeat(np.arange(len(size)), size)
             self.total[k] = np.add.reduceat(self.n[k], at) if len(at) else np.empty(0)
             self.distinct[k] = size
