@@ -19,6 +19,7 @@ from tabspark.operators.gram import pair_sums
 from tabspark.operators.quality import missing_severity, nulls_by_column
 from tabspark.operators.valuecounts import value_counts
 
+_QUARTILES = [0.25, 0.5, 0.75]
 # Pairs of columns that one plain aggregate holds: keeps the generated plan small.
 _PAIRS_PER_PASS = 120
 
@@ -83,9 +84,10 @@ def kde(df: DataFrame, column: str, points: int = 1000, resolution: int = 2048)
             .select("point", "x", (total / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density")))
 
 
-def center_stats(df: DataFrame, columns: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(column, mean, median) with the exact median."""
-    medians = exact_quantiles(df, columns, [0.5], config)
+def center_stats(df: DataFrame, columns: list[str], config: EngineConfig = EngineConfig(),
+                 quartiles: dict[str, list[float | None]] | None = None) -> DataFrame:
+    """(column, mean, median) with the exact median, which known ``quartiles`` of the columns hold already."""
+    medians = {c: q[1:2] for c, q in quartiles.items()} if quartiles else exact_quantiles(df, columns, [0.5], config)
     rows = [F.struct(F.lit(c).alias("column"), F.avg(present(col(c), dtype_of(df, c)).cast("double")).alias("mean"),
                      F.lit(medians[c][0]).cast("double").alias("median")) for c in columns]
     return df.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
@@ -106,9 +108,10 @@ def top_categories(df: DataFrame, columns: list[str], top: int = 10) -> DataFram
             .select("column", "value", "cnt", "rank", "n_shown", "n_categories"))
 
 
-def iqr_outliers(df: DataFrame, columns: list[str], config: EngineConfig = EngineConfig()) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: list[str], config: EngineConfig = EngineConfig(),
+                 quartiles: dict[str, list[float | None]] | None = None) -> DataFrame:
     """(column, outlier_pct, severity) for columns with values beyond 1.5 interquartile ranges."""
-    q = exact_quantiles(df, columns, [0.25, 0.75], config)
+    q = {c: [x[0], x[2]] for c, x in quartiles.items()} if quartiles else exact_quantiles(df, columns, [0.25, 0.75], config)
     aggs = [F.count(F.lit(1)).alias("n")]
     usable = [c for c in columns if q[c][0] is not None]
     for i, c in enumerate(usable):
@@ -253,7 +256,8 @@ def class_statistics(df: DataFrame, target: str) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, top: int = 10, bins: int = 10,
-                       config: EngineConfig = EngineConfig()) -> DataFrame:
+                       config: EngineConfig = EngineConfig(),
+                       quartiles: dict[str, list[float | None]] | None = None) -> DataFrame:
     """(column, mi): information between decile-binned features and the class, most informative first.
 
     Missing features take the median and rows without a class are left out.
@@ -262,7 +266,8 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, top: int
     """
     present_rows = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_number(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     holed = [c for i, c in enumerate(columns) if present_rows[f"c{i}"] < present_rows["n"]]
-    medians = {c: None for c in columns} | {c: q[0] for c, q in exact_quantiles(df, holed, [0.5], config).items()}
+    medians = {c: None for c in columns}
+    medians |= {c: quartiles[c][1] for c in holed} if quartiles else {c: q[0] for c, q in exact_quantiles(df, holed, [0.5], config).items()}
     target_text = present(col(target), dtype_of(df, target)).cast("string")
     filled = df.select(target_text.alias("_class"), *[
         F.coalesce(_number(df, c), F.lit(medians[c])).alias(c) for c in columns]).filter(F.col("_class").isNotNull())
@@ -285,9 +290,10 @@ def target_histogram(df: DataFrame, target: str, bins: int = 50) -> DataFrame:
     return histogram(df, [target], bins).drop("column")
 
 
-def target_statistics(df: DataFrame, target: str, config: EngineConfig = EngineConfig()) -> DataFrame:
+def target_statistics(df: DataFrame, target: str, config: EngineConfig = EngineConfig(),
+                      quartiles: dict[str, list[float | None]] | None = None) -> DataFrame:
     """Moments and quartiles; skewness and excess kurtosis are bias-corrected."""
-    q = exact_quantiles(df, [target], [0.25, 0.5, 0.75], config)[target]
+    q = (quartiles or exact_quantiles(df, [target], _QUARTILES, config))[target]
     v = _number(df, target)
     n, g1, g2 = F.col("count").cast("double"), F.col("g1"), F.col("g2")
     row = df.select(v.alias("x")).agg(
@@ -315,22 +321,26 @@ def target_correlation(df: DataFrame, columns: list[str], target: str, top: int
 
 
 def profile(df: DataFrame, target: str, task: str, config: EngineConfig = EngineConfig()) -> dict[str, DataFrame]:
-    """All exploratory tables of one input. Persist ``df`` first if it is costly to read."""
+    """All exploratory tables of one input. Persist ``df`` first if it is costly to read.
+
+    The quartiles of all columns are searched once and serve every table that asks for one of them.
+    """
     features = df.drop(target)
     numeric, text = numeric_columns(features), categorical_columns(features)
+    quartiles = exact_quantiles(df, numeric if task == "classification" else [*numeric, target], _QUARTILES, config)
     out = {"missing": nulls_by_column(features), "missing_severity": missing_severity(features)}
     if numeric:
-        out |= {"histograms": histogram(features, numeric), "centers": center_stats(features, numeric, config),
-                "outliers": iqr_outliers(features, numeric, config), "correlation": correlation_matrix(features, numeric),
+        out |= {"histograms": histogram(features, numeric), "centers": center_stats(features, numeric, config, quartiles),
+                "outliers": iqr_outliers(features, numeric, config, quartiles), "correlation": correlation_matrix(features, numeric),
                 "top_pairs": top_correlated(features, numeric)}
     if text:
         out["top_categories"] = top_categories(features, text)
     if task == "classification":
         out |= {"class_distribution": class_distribution(df, target), "class_statistics": class_statistics(df, target)}
         if numeric:
-            out["mutual_information"] = mutual_information(df, numeric, target, config=config)
+            out["mutual_information"] = mutual_information(df, numeric, target, config=config, quartiles=quartiles)
     else:
-        out |= {"target_histogram": target_histogram(df, target), "target_statistics": target_statistics(df, target, config),
+        out |= {"target_histogram": target_histogram(df, target), "target_statistics": target_statistics(df, target, config, quartiles),
                 "target_density": kde(df, target)}
         if numeric:
             out["target_correlation"] = target_correlation(df, numeric, target)
