@@ -1,4 +1,8 @@
-"""Benchmark decontamination under edit distance: CGK embedding, bit-sampling LSH and exact verification."""
+"""Benchmark decontamination under edit distance: CGK embedding, bit-sampling LSH and exact verification.
+
+The LSH finds near copies cheaply but may miss some; what it misses is found by
+shared grams of the items' pieces (``pieces``), so no match is left out.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabspark.llm.common import HASH_BASE, HASH_MIX, table, text_bytes
+from tabspark.llm.pieces import PieceIndex
 from tabspark.llm.registry import query
 
-#: Length in bytes of the exact matches that place an item-sized window.
+#: Length in bytes of the exact matches that place an item-sized window; shorter items are looked up as words.
 SEED = 14
 #: A window holds an item when its edit distance is at most this share of the item's bytes.
 MAX_EDITS = 0.2
@@ -70,7 +75,7 @@ def edit_search(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | Non
 
 
 class ItemIndex:
-    """Seeds, embeddings and sampled positions of one block of benchmark items."""
+    """Seeds, embeddings, sampled positions and pieces of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, bytes]], max_edits: float = MAX_EDITS, recall: float = 0.99,
                  sampled: int = 5, agree: float = 0.4, seed: int = 42):
@@ -100,6 +105,7 @@ class ItemIndex:
         every = np.arange(len(self.items))
         self.codes = np.concatenate([self._code(self.data, self.start[a:a + 256], every[a:a + 256])
                                      for a in range(0, len(every), 256)] or [np.empty((0, *self.positions.shape), np.int16)])
+        self.pieces = PieceIndex([(i, t) for i, (_, t) in enumerate(self.items) if len(t) >= SEED], max_edits)
 
     def _code(self, data: np.ndarray, starts: np.ndarray, item: np.ndarray) -> np.ndarray:
         """(windows, repeats, sampled) symbols at the sampled places of the embedding of item-sized windows."""
@@ -127,6 +133,7 @@ class ItemIndex:
         joined = gap.join(texts) + gap
         data = np.frombuffer(joined, np.uint8)
         found: list[dict] = [{} for _ in texts]
+        searched: dict = {}
         for t, text in enumerate(texts):
             for i, word in self.short:
                 at = (b" " + text + b" ").find(b" " + word + b" ")
@@ -142,11 +149,12 @@ class ItemIndex:
                 part = keys[a:a + 1024]
                 codes = self._code(data, part[:, 2], part[:, 0])
                 hit = (codes == self.codes[part[:, 0]]).all(2).any(1)
-                self._verify(part[hit], first, texts, found)
+                self._verify(part[hit], first, texts, found, searched)
+        self._complete(data, first, texts, found, searched)
         for f in found:
             yield [(self.items[i][0], at, n, d) for i, (d, at, n) in sorted(f.items())]
 
-    def _verify(self, windows: np.ndarray, first: np.ndarray, texts: list[bytes], found: list[dict]) -> None:
+    def _verify(self, windows: np.ndarray, first: np.ndarray, texts: list[bytes], found: list[dict], searched: dict) -> None:
         done: dict[tuple[int, int], int] = {}
         for i, t, start in windows.tolist():
             pattern = self.items[i][1]
@@ -157,6 +165,7 @@ class ItemIndex:
             low, high = max(0, at - 2 * most), at + len(pattern) + 2 * most
             best = edit_search(pattern, texts[t][low:high], most)
             done[i, t] = at + most
+            searched.setdefault((i, t), []).append((low, high))
             if best is not None and (i not in found[t] or best[0] < found[t][i][0]):
                 end = low + best[1]
                 back = edit_search(pattern[::-1], texts[t][max(0, end - len(pattern) - most):end][::-1], most)
@@ -164,6 +173,34 @@ class ItemIndex:
                 found[t][i] = (best[0], end - n, n)
 
 
+    def _complete(self, data: np.ndarray, first: np.ndarray, texts: list[bytes], found: list[dict], searched: dict) -> None:
+        """Searches all windows that may hold an item, so that the best part is known whatever the LSH has found."""
+        item, start, end = self.pieces.windows(data)
+        order = np.lexsort((start, item))
+        text, last = np.searchsorted(first, start, "right") - 1, np.searchsorted(first, end, "left")
+        spans: list[list[int]] = []  # overlapping windows of an item in a text are one
+        for w in order.tolist():
+            i = int(item[w])
+            for t in range(max(int(text[w]), 0), int(last[w])):
+                a, b = max(0, int(start[w] - first[t])), min(len(texts[t]), int(end[w] - first[t]))
+                if b - a < len(self.items[i][1]) - int(self.max_edits * len(self.items[i][1])):
+                    continue
+                if any(low <= a and b <= high for low, high in searched.get((i, t), ())):
+                    continue
+                if spans and spans[-1][:2] == [i, t] and a <= spans[-1][3]:
+                    spans[-1][3] = max(b, spans[-1][3])
+                else:
+                    spans.append([i, t, a, b])
+        for i, t, a, b in spans:
+            pattern = self.items[i][1]
+            most = int(self.max_edits * len(pattern)) if i not in found[t] else found[t][i][0] - 1
+            best = edit_search(pattern, texts[t][a:b], most) if most >= 0 else None
+            if best is not None:
+                stop = a + best[1]
+                back = edit_search(pattern[::-1], texts[t][max(0, stop - len(pattern) - best[0]):stop][::-1], best[0])
+                found[t][i] = (best[0], stop - back[1], back[1])
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the SEED bytes from every place; none for shorter data."""
     n = len(data) - SEED + 1
