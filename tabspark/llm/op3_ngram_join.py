@@ -5,16 +5,17 @@ Equal sets are one class. Linked classes share several of their rarest shingles
 large; classes that share too few with all others have no link, and the shared
 ones join the rest to candidate clusters, inside which T-occurrence search
 (DivideSkip) finds the exact links. No list of pairs is ever made: clusters hand
-on components. Large clusters, which shared passages chain, are clustered once
-more by an order of shingles of their own, and what stays large is searched in
-blocks.
+on components. What two classes share by chance or in a passage is less than
+links need, and such ties are left out as far as no link can hang on them. Large
+clusters are clustered once more by all of their shingles, and what stays large
+is searched in blocks, in rounds that bound the copies on disk.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabspark.llm.common import components, hashed_sample, join_by_count, join_salted, one_of_hot_texts, stored, table, text_bytes
 from tabspark.llm.registry import query
@@ -27,8 +28,20 @@ SAMPLE_TEXTS, FREQUENT = 20_000, 1 << 18
 #: sets of a band of lengths that are shown to every block they may be linked with.
 CLUSTER_SETS, CLUSTER_SHINGLES, PIVOTS = 4_000, 4_000_000, 32
 HOT = 1_000
-#: Rare shingles that linked classes share at least (small sets: as many as their overlap allows).
-SHARED = 32
+#: Rare shingles that linked classes share at least, and as a part of the set's size (small sets: as many as their overlap
+#: allows). The more, the less clusters hang on chance; large clusters are clustered again by whole sets.
+SHARED, PART, WHOLE = 32, 8, 1
+#: Texts whose shingles a task holds and hands on at a time.
+TEXTS = 1_000
+#: A round deals out as many bytes of copies of sets at a time: so many times those of the sets, or this at least.
+ROUND_TIMES, ROUND_BYTES = 3, 1 << 28
+
+
+def _some(batches):
+    """The rows of each batch, TEXTS at a time."""
+    for b in batches:
+        for a in range(0, len(b), TEXTS):
+            yield b.iloc[a:a + TEXTS]
 
 
 def _frequent(texts: DataFrame, size: int, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +49,7 @@ def _frequent(texts: DataFrame, size: int, total: int) -> tuple[np.ndarray, np.n
     rows = hashed_sample(texts.select("k1", "k2", "data"), ["k1", "k2"], total, SAMPLE_TEXTS)
 
     def run(batches):
-        for b in batches:
+        for b in _some(batches):
             sets = shingle_sets(list(b["data"]), size)
             if sets:
                 yield pd.DataFrame({"token": np.concatenate(sets).view(np.int64)})
@@ -48,61 +61,69 @@ def _frequent(texts: DataFrame, size: int, total: int) -> tuple[np.ndarray, np.n
     return token[order], np.log2(found["count"].to_numpy(np.float64)[order]).astype(np.int64)
 
 
-def _rarest(s: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _rarest(s: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray], part: int) -> np.ndarray:
+    least = least_overlap(len(s), percent)
+    kept = len(s) - least + min(max(SHARED, len(s) // part), least)
+    if kept == len(s):
+        return s
     token, level = frequent
     rank = np.zeros(len(s), np.int64)
     if len(token):
         at = np.minimum(np.searchsorted(token, s), len(token) - 1)
         rank = np.where(token[at] == s, level[at], 0)
-    least = least_overlap(len(s), percent)
-    return s[np.lexsort((s, rank))[:len(s) - least + min(SHARED, least)]]
+    return s[np.lexsort((s, rank))[:kept]]
 
 
-def _candidate_edges(postings: DataFrame, percent: int, hot: int) -> DataFrame:
+def _candidate_edges(postings: DataFrame, percent: int, hot: int, part: int) -> DataFrame:
     """(node, low) edges that connect all classes that may be linked. ``postings``: token, node, n (set size).
 
-    Two linked classes share at least min(SHARED, overlap) of these tokens, so a
-    class that shares fewer with the others is dropped, round by round. Sets
-    are linked only if the smaller has ``percent`` of the larger's size, so a
-    token connects sets of one band of sizes, and the next band's only if the
-    nearest sizes allow it.
+    A class has as many tokens as its set may lack, and m = min(max(SHARED, n /
+    ``part``), overlap) more; two linked ones share at least m - 1 of these, m
+    being that of the larger (the one off is for rounding). So a class that
+    shares fewer with the others is dropped, round by round. Sets are linked
+    only if the smaller has ``percent`` of the larger's size: a token ties the
+    sets of a band of sizes and the next to the least class among them. Of its
+    ties each class leaves out the weakest, by the tokens behind them, up to
+    less than half of what a link needs. Two linked classes thus keep a token
+    in common, and their ties to its least class.
     """
     lists = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
     lists = stored(lists.where("low < high").select("token", F.col("n").alias("n"), F.lit(True).alias("live")), "lists")
     total = lists.agg(F.sum("n")).first()[0] or 0
     live = stored(join_salted(postings, lists, ["token"], total, hot).select("token", "node", F.col("n").alias("size")).distinct(), "live")
     overlap = F.ceil(F.col("size") * percent / 100)
-    need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(overlap * percent / 100) - 1))
+    need = F.greatest(F.lit(1), F.least(F.greatest(F.lit(SHARED), F.floor(F.col("size") / part)), overlap) - 1)
     for _ in range(3):
         strong = live.groupBy("node").agg(F.count("*").alias("shared"), F.first("size").alias("size")).where(F.col("shared") >= need)
         live = live.join(strong.select("node"), "node", "left_semi")
         more = stored(live.groupBy("token").agg(F.count("*").alias("n"), F.lit(True).alias("live")).where("n > 1"), "lists")
         live = stored(join_by_count(live, more, ["token"], live.count(), hot).select("token", "node", "size"), "live")
     band = F.floor(F.log(F.col("size")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
-    live = live.withColumn("band", band)
-    groups = stored(live.groupBy("token", "band").agg(
-        F.count("*").alias("n"), F.min("node").alias("low"), F.min("size").alias("least"), F.max("size").alias("most")), "groups")
-    inner = join_by_count(live, groups.where("n > 1").select("token", "band", "n", "low"), ["token", "band"], live.count(), hot)
-    above = groups.select("token", (F.col("band") - 1).alias("band"), F.col("low").alias("upper"), F.col("least").alias("next"))
-    across = groups.join(above, ["token", "band"]).where(F.col("most") * 100 >= F.col("next") * percent)
-    return (inner.select("node", "low").union(across.select(F.col("upper").alias("node"), "low"))
-            .where("node <> low").distinct())
+    live = live.withColumn("band", band).withColumn("level", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+    groups = live.groupBy("token", "level").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min("band").alias("least"))
+    # sets of the upper band alone meet on their own level
+    groups = stored(groups.where("n > 1 AND least = level").drop("least"), "groups")
+    ties = (join_by_count(live, groups, ["token", "level"], 2 * live.count(), hot).where("node <> low")
+            .groupBy("node", "level", "low").agg(F.count("*").alias("weight"), F.first("size").alias("size")))
+    weakest = Window.partitionBy("node", "level").orderBy("weight", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ties.withColumn("up_to", F.sum("weight").over(weakest)).where(F.col("up_to") * 2 >= need).select("node", "low").distinct()
 
 
-def _candidate_clusters(texts: DataFrame, size: int, percent: int, total: int, hot: int) -> DataFrame:
+def _candidate_clusters(texts: DataFrame, size: int, percent: int, total: int, hot: int, part: int = PART) -> DataFrame:
     """(node, root): clusters of classes outside which nothing is linked, from ``texts`` (k1, k2, data); others have no link."""
-    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size, total))
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)  # whole sets need no order
+    frequent = texts.sparkSession.sparkContext.broadcast(none if part == WHOLE else _frequent(texts, size, total))
 
     def rare(batches):
-        for b in batches:
+        for b in _some(batches):
             found = [s for s in shingle_sets(list(b["data"]), size) if len(s)]
-            cut = [_rarest(s, percent, frequent.value) for s in found]
+            cut = [_rarest(s, percent, frequent.value, part) for s in found]
             if cut:
                 times = [len(c) for c in cut]
                 yield pd.DataFrame({"token": np.concatenate(cut).view(np.int64), "node": np.repeat([set_digest(s) for s in found], times),
                                     "n": np.repeat([len(s) for s in found], times)})
 
-    edges = _candidate_edges(texts.mapInPandas(rare, "token long, node long, n long"), percent, hot)
+    edges = _candidate_edges(texts.mapInPandas(rare, "token long, node long, n long"), percent, hot, part)
     clusters = stored(components(edges, "node", "low"), "clusters")
     return clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
 
@@ -172,7 +193,9 @@ def _large_clusters(members: DataFrame, size: int, percent: int, block: int, shi
     First each block is searched together with some pivots of its own and the
     neighbouring bands, which usually leaves one large component and a few others.
     Then those others are searched against all blocks of their own and the
-    neighbouring bands; links inside the large component add nothing.
+    neighbouring bands; links inside the large component add nothing. Every
+    block is copied to all that ask it, so these searches go in rounds, whose
+    copies have ROUND_TIMES the bytes of the sets.
     """
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("long")
     members = members.select("root", "node", "data", F.col("n").alias("size"), band.alias("band"))
@@ -223,7 +246,18 @@ def _large_clusters(members: DataFrame, size: int, percent: int, block: int, shi
                            "node", "data", "group", "must")
     asked = asked.select(F.col("root").alias("a"), F.xxhash64("g.far", "r").alias("b"), F.xxhash64("band", "block").alias("c"),
                          "node", "data", "group", "must")
-    return first.union(stored(_searched(asking.union(asked), size, percent), "links"))
+    held = labelled.groupBy("root", "band").agg(F.sum(F.length("data")).alias("all"),
+                                                F.sum(F.when(F.col("must"), F.length("data")).otherwise(0)).alias("rest"))
+    copied = (to_ask.groupBy("root", "band").agg(F.sum("blocks").alias("times")).join(held, ["root", "band"])
+              .select((F.col("times") * F.col("rest")).alias("copies"), zero.alias("held"))
+              .union(to_ask.groupBy("root", F.col("near").alias("band")).agg(F.sum("asking").alias("times")).join(held, ["root", "band"])
+                     .select(F.col("times") * F.col("all"), "all")))
+    copies, each = copied.agg(F.coalesce(F.sum("copies"), zero), F.greatest(F.sum("held") * ROUND_TIMES, F.lit(ROUND_BYTES))).first()
+    rounds = -(-copies // each)
+    for r in range(rounds):
+        now = F.pmod(F.xxhash64("b", F.lit(11), "c"), F.lit(rounds)) == r
+        first = first.union(stored(_searched(asking.where(now).union(asked.where(now)), size, percent), "links"))
+    return first
 
 
 def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int = HOT, cluster_sets: int = CLUSTER_SETS,
@@ -247,7 +281,7 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int =
                                                  F.min(doc_id).alias("low")), "texts")
     texts = one_of_hot_texts(base.select("k1", "k2", "data", F.xxhash64(doc_id).alias("key")), copies, total, hot)
     def sets(batches):
-        for b in batches:
+        for b in _some(batches):
             found = shingle_sets(list(b["data"]), size)
             yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n_shingles": [len(s) for s in found],
                                 "node": [set_digest(s) for s in found]})
@@ -264,8 +298,8 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85, hot: int =
     small, large = members.where("NOT large").drop("large"), members.where("large").drop("large")
     n_large = large.count()
     if n_large:
-        # with an order of shingles of their own, most large clusters fall apart
-        again = _candidate_clusters(large.select(F.col("node").alias("k1"), F.col("n").alias("k2"), "data"), size, percent, n_large, hot)
+        # by their whole sets, most large clusters fall apart
+        again = _candidate_clusters(large.select(F.col("node").alias("k1"), F.col("n").alias("k2"), "data"), size, percent, n_large, hot, WHOLE)
         regrouped = _weighed(large.select("node", "n").join(again, "node"), cluster_sets, cluster_shingles, hot)
         large = stored(large.drop("root", "n").join(regrouped, "node"), "members")
         small = small.unionByName(large.where("NOT large").drop("large"))
